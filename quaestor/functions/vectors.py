@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_doubles(vector: Column) -> Column:
@@ -52,7 +53,7 @@ def format_vector(vector: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def vector_to_hex(vectors: pd.Series) -> pd.Series:
     """Hex of the vector's little-endian float32 bytes."""
     return vectors.map(
@@ -70,7 +71,7 @@ def _floats_from_hex(text: str | None) -> list[float] | None:
     return np.frombuffer(raw, dtype="<f4").tolist()
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def hex_to_vector(texts: pd.Series) -> pd.Series:
     """Inverse of `vector_to_hex`; blank, missing or malformed text gives null."""
     return texts.map(_floats_from_hex)

@@ -187,3 +187,23 @@ def ordered_page(df: DataFrame, key: str, page: int, page_size: int) -> DataFram
     """
     return df.orderBy(key).offset(page * page_size).limit(page_size)
 
+
+
+def ingest_stats(
+    table_name: str, stored: DataFrame, offered: DataFrame, inserted: DataFrame
+) -> DataFrame:
+    """One row for a table: rows after the load, rows inserted, rows skipped."""
+    sizes = (
+        stored.select(F.lit("stored").alias("part"))
+        .unionAll(offered.select(F.lit("offered")))
+        .unionAll(inserted.select(F.lit("inserted")))
+    )
+    counts = sizes.agg(
+        *[F.count_if(F.col("part") == p).alias(p) for p in ("stored", "offered", "inserted")]
+    )
+    return counts.select(
+        F.lit(table_name).alias("table_name"),
+        (F.col("stored") + F.col("inserted")).alias("live_rows"),
+        "inserted",
+        (F.col("offered") - F.col("inserted")).alias("skipped"),
+    )

@@ -293,7 +293,7 @@ def rerank_parse(spark: SparkSession, folder: str) -> DataFrame:
     "rerank_merge",
     f"""WITH {RERANK_SQL},
 first AS (SELECT * FROM parsed
-  QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY output_pos) = 1)
+  QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY output_pos) = 1),
 merged AS (SELECT h.query_id, h.chunk_id, f.reranker_score, f.reranker_reason,
        CASE WHEN f.output_pos IS NULL THEN 'initial' ELSE 'reranked' END AS source,
        row_number() OVER (PARTITION BY h.query_id ORDER BY f.output_pos NULLS LAST, h.rank) AS final_rank
