@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retrieval", "ingest", "text", "evaluation")
+MODULES = ("retrieval", "ingest", "text", "evaluation", "service")
 
 
 def load_all() -> None:

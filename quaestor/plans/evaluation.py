@@ -38,7 +38,7 @@ RETRIEVAL_SQL = (
 retrieved AS (SELECT m.query_id, 'L' || e.label || '_' || m.doc_id AS doc_id, m.rank
   FROM merged m JOIN embeddings e ON e.vec_id = m.doc_id),
 listed AS (SELECT query_id, list(doc_id ORDER BY rank) AS docs FROM retrieved GROUP BY query_id),
-hits AS (SELECT t.query_id, t.doc_patterns, coalesce(l.docs, []) AS docs,
+judged AS (SELECT t.query_id, t.doc_patterns, coalesce(l.docs, []) AS docs,
   len(list_filter(t.doc_patterns, lambda p: len(list_filter(coalesce(l.docs, []), lambda d: regexp_matches(d, '^(?:' || p || ')'))) > 0)) AS found,
   list_transform(coalesce(l.docs, []), lambda d: len(list_filter(t.doc_patterns, lambda p: regexp_matches(d, '^(?:' || p || ')'))) > 0) AS ok
   FROM truth t LEFT JOIN listed l ON l.query_id = t.query_id),
@@ -48,7 +48,7 @@ retrieval AS (SELECT query_id, docs, found AS relevant_found, len(doc_patterns)
   CASE WHEN found > 0 THEN 2 * (found / len(docs)) * (found / len(doc_patterns)) / (found / len(docs) + found / len(doc_patterns)) ELSE 0 END AS f1_at_k,
   CASE WHEN list_position(ok, true) > 0 THEN 1 / list_position(ok, true) ELSE 0 END AS mrr,
   CASE WHEN len(docs) > 0 THEN len(list_filter(ok, lambda o: o)) / len(docs) ELSE 0 END AS precision_docs
-  FROM hits)"""
+  FROM judged)"""
 )
 
 
@@ -146,13 +146,13 @@ first_answers AS (SELECT * FROM quality QUALIFY row_number() OVER (PARTITION BY
 sides AS (SELECT conv_id || ':p' AS k, array_to_string(key_points, ' ') AS text FROM first_answers
           UNION ALL SELECT conv_id || ':a', answer FROM first_answers),
 vectors AS ({hashed('sides', 'k')}),
-similar AS (SELECT split_part(a.k, ':', 1)::BIGINT AS conv_id, sum(a.value * p.value) AS semantic_similarity
+likeness AS (SELECT split_part(a.k, ':', 1)::BIGINT AS conv_id, sum(a.value * p.value) AS semantic_similarity
   FROM vectors a JOIN vectors p ON p.k = split_part(a.k, ':', 1) || ':p' AND p.pos = a.pos WHERE a.k LIKE '%:a' GROUP BY 1),
 cases AS (SELECT t.query_id, t.question, t.domain, t.difficulty, r.precision_at_k, r.recall_at_k, r.f1_at_k, r.mrr,
   r.docs, f.answer, f.key_points_coverage, f.citation_count > 0 AS has_citations, f.word_count,
   coalesce(s.semantic_similarity, 0) AS semantic_similarity
   FROM truth t JOIN retrieval r ON r.query_id = t.query_id JOIN first_answers f ON f.conv_id = t.query_id
-  LEFT JOIN similar s ON s.conv_id = t.query_id)"""
+  LEFT JOIN likeness s ON s.conv_id = t.query_id)"""
 )
 
 
@@ -245,10 +245,10 @@ def eval_grade(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {CASES_SQL}, {MEANS_SQL},
 parts AS (SELECT 'precision_at_k' AS component, p AS value FROM means UNION ALL
   SELECT 'key_points_coverage', c FROM means UNION ALL SELECT 'semantic_similarity', s FROM means),
-rules(component, advice_no, advice) AS (VALUES """
+advised(component, advice_no, advice) AS (VALUES """
     + ", ".join(f"('{c}', {i}, '{a}')" for c, advice in ev.ADVICE.items() for i, a in enumerate(advice))
     + """)
-SELECT component, round(value, 4) AS value, advice_no, advice FROM parts JOIN rules USING (component) WHERE value < 0.7""",
+SELECT component, round(value, 4) AS value, advice_no, advice FROM parts JOIN advised USING (component) WHERE value < 0.7""",
 )
 def eval_recommend(spark: SparkSession, folder: str) -> DataFrame:
     return ev.recommendations(cases(spark, folder)).withColumn("value", F.round("value", 4))
