@@ -51,11 +51,13 @@ def text_search(
         .withColumn("terms", F.array_except("terms", F.array(*[F.lit(w) for w in STOP_WORDS])))
         .select(query_id, F.size("terms").alias("wanted"), F.explode("terms").alias("token"))
     )
-    used = terms.select("token").distinct()
-    frequency = index.join(used, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    # Only postings of asked tokens go on; the semi join also reaches below the
+    # index's own aggregation, and both uses share one shuffle.
+    postings = index.join(terms.select("token").distinct(), "token", "left_semi")
+    frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "token").withColumn("idf", F.log(F.lit(float(documents)) / F.col("df")))
     scored = (
-        index.join(weighted, "token")
+        postings.join(weighted, "token")
         .groupBy(query_id, id_col, "wanted")
         .agg(F.sum(F.col("tf") * F.col("idf")).alias("score"), F.count("*").alias("matched"))
     )
