@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,9 @@ class HashEmbedder:
 
     def __init__(self, dim: int = 16) -> None:
         self.dim = dim
+        self._place = lru_cache(maxsize=1 << 16)(self._hash)
 
-    def _place(self, word: str) -> int:
+    def _hash(self, word: str) -> int:
         return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:

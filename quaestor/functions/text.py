@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` worked out once, even where `use` has lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def terms_in(text: Column, terms: Sequence[str]) -> Column:
+    """Those of the given lower-case terms that the text contains, in their order."""
+    listed = F.array(*[F.lit(t) for t in terms])
+    return bind(F.lower(text), lambda low: F.filter(listed, lambda t: F.contains(low, t)))
+
+
 def words(text: Column) -> Column:
     """Whitespace-separated words; an empty text has none."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -42,8 +55,8 @@ def common_terms(left: Column, right: Column) -> Column:
 def query_term_hits(question: Column, text: Column) -> Column:
     """Number of distinct question words that occur anywhere in the text."""
     terms = F.array_distinct(words(F.lower(question)))
-    lowered = F.lower(text)
-    return F.size(F.filter(terms, lambda t: F.contains(lowered, t))).cast("long")
+    found = bind(F.lower(text), lambda low: F.filter(terms, lambda t: F.contains(low, t)))
+    return F.size(found).cast("long")
 
 
 def content_key(prefix: str, text: Column) -> Column:
@@ -52,8 +65,7 @@ def content_key(prefix: str, text: Column) -> Column:
 
 def normalized_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def assemble_context(

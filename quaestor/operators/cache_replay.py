@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.operators.scale import salted_join
+from quaestor.operators.scale import salted_join, settle
 from quaestor.session import cut_lineage
 
 # Moments of one key that may be folded in a single task; the chains of busier
@@ -63,7 +63,7 @@ def cache_misses(
     busy = sizes.filter(F.col("_n") > max_fold).select(key)
     if busy.isEmpty():
         return _fold(moments, ttl, key, at, id_col)
-    busy = cut_lineage(busy)
+    busy = settle(busy)
     quiet = moments.join(busy, key, "left_anti")
     crowded = moments.join(busy, key, "left_semi")
     return _fold(quiet, ttl, key, at, id_col).unionByName(_chains(crowded, ttl, key, at, id_col))
@@ -88,26 +88,26 @@ def _fold(moments: DataFrame, ttl: int, key: str, at: str, id_col: str) -> DataF
 def _chains(moments: DataFrame, ttl: int, key: str, at: str, id_col: str) -> DataFrame:
     """Miss chains by doubling: links of 1, 2, 4, ... steps, then a walk back down.
 
-    After each doubling only moments that some link still reaches are kept, so
-    the levels shrink about as fast as the links grow.
+    Links of twice the length start only where a link ends or a chain begins:
+    no other moment is asked for later. So the levels shrink about as fast as
+    the links grow.
     """
     starts = cut_lineage(moments.groupBy(key).agg(F.min(at).alias(at)))
     links = cut_lineage(_next_moments(moments, ttl, key, at))
     levels = []
-    while True:
-        reached = links.select(key, F.col("_next").alias(at)).unionByName(starts).distinct()
-        links = cut_lineage(links.join(reached, [key, at], "left_semi"))
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         levels.append(links)
+        ends = links.select(key, F.col("_next").alias(at)).unionByName(starts).distinct()
         onward = links.select(key, F.col(at).alias("_next"), F.col("_next").alias("_after"))
         links = cut_lineage(
-            links.join(onward, [key, "_next"]).select(key, at, F.col("_after").alias("_next"))
+            links.join(ends, [key, at], "left_semi")
+            .join(onward, [key, "_next"])
+            .select(key, at, F.col("_after").alias("_next"))
         )
     chain = starts
     for links in reversed(levels):
-        onward = chain.join(links, [key, at]).select(key, F.col("_next").alias(at))
-        chain = cut_lineage(chain.unionByName(onward))
+        both = F.explode(F.array_compact(F.array(at, "_next")))
+        chain = chain.join(links, [key, at], "left").select(key, both.alias(at))
     return moments.join(chain, [key, at], "left_semi").select(key, at, id_col)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import word_count
+from quaestor.functions.text import bind, terms_in, word_count
 
 # Terms, section headings, style words and the citation form that
 # answers are scored by.
@@ -109,15 +111,14 @@ def answer_quality(
     citation: str = CITATION,
 ) -> DataFrame:
     """Add the answer's features: coverage, terms, structure, citations, length, style."""
-    text, lowered = F.col(answer), F.lower(answer)
-
-    def contained(words: Column) -> Column:
-        return F.filter(words, lambda w: F.contains(lowered, F.lower(w)))
-
-    literal = {name: F.array(*[F.lit(w) for w in words]) for name, words in
-               (("terms", terms), ("markers", markers), ("style", style_words))}
-    points = contained(F.col(key_points))
-    used = contained(literal["terms"])
+    text = F.col(answer)
+    points = bind(
+        F.lower(text),
+        lambda low: F.filter(key_points, lambda p: F.contains(low, F.lower(p))),
+    )
+    used = terms_in(text, terms)
+    styled = terms_in(text, style_words)
+    marked = [F.contains(text, F.lit(m)) for m in markers]
     citations = F.regexp_count(text, F.lit(citation)).cast("long")
     words = word_count(text)
     return answers.select(
@@ -126,12 +127,12 @@ def answer_quality(
         points.alias("key_points_found"),
         F.size(used).cast("long").alias("legal_terms_count"),
         used.alias("legal_terms_used"),
-        F.exists(literal["markers"], lambda m: F.contains(text, m)).alias("has_structured_response"),
+        reduce(or_, marked).alias("has_structured_response"),
         (citations > 0).alias("has_citations"),
         citations.alias("citation_count"),
         words.alias("word_count"),
         words.between(50, 500).alias("is_adequate_length"),
-        (F.size(contained(literal["style"])) / len(style_words)).alias("style_score"),
+        (F.size(styled) / len(style_words)).alias("style_score"),
     )
 
 

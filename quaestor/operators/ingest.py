@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.operators.chunking import chunk_key
-from quaestor.operators.scale import first_per_key, running_total, top_per_group
+from quaestor.operators.scale import first_per_key, running_total, settle, top_per_group
 
 
 def modal_dimension(df: DataFrame, vector: str = "embedding") -> int:
@@ -54,11 +54,11 @@ def insert_ignore(
 ) -> DataFrame:
     """The incoming rows to append: new keys only, the first row of each.
 
-    Known keys go first, on the narrow key column; copies then collapse on the
-    map side.
+    Copies collapse on the map side, so the anti join meets each key once and
+    finds the rows already partitioned by it. Of the target only keys are read.
     """
-    fresh = incoming.join(target.select(key), key, "left_anti")
-    return first_per_key(fresh, [key], order)
+    single = first_per_key(incoming, [key], order)
+    return single.join(target.select(key), key, "left_anti")
 
 
 def ingest_totals(offered: DataFrame, inserted: DataFrame, batch: str = "batch") -> DataFrame:
@@ -163,7 +163,8 @@ def stratified_sample(
         .filter(F.col("_room") > 0)
         .select(stratum, "_range", "_room", (F.col("_upto") <= F.col("_want")).alias("_all"))
     )
-    marked = hashed.join(borders, [stratum, "_range"])
+    # Strata times ranges: without a broadcast the whole table would move.
+    marked = hashed.join(settle(borders), [stratum, "_range"])
     inside = marked.filter("_all")
     border_rank = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
     border = marked.filter("NOT _all").withColumn("_rank", border_rank)

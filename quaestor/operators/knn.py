@@ -194,13 +194,14 @@ def grid_knn(
     the rows or most of the questions just has more shards, and a pair of
     shards gives up only `k` rows per question.
     """
-    sizes = (
-        corpus.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).alias("row_shards"))
-        .join(
-            queries.groupBy("cell").agg(F.ceil(F.count("*") / shard_queries).alias("query_shards")),
-            "cell",
+    row_shards = F.ceil(F.count("*") / shard_rows).alias("row_shards")
+    query_shards = F.ceil(F.count("*") / shard_queries).alias("query_shards")
+    # One row per cell, and the centroids of all cells fit the driver.
+    sizes = F.broadcast(
+        corpus.groupBy("cell").agg(row_shards).join(
+            queries.groupBy("cell").agg(query_shards), "cell"
         )
-    )
+    )
     zero, last = F.lit(0).cast("long"), F.lit(1)
     left = (
         queries.join(sizes, "cell")
@@ -280,11 +281,13 @@ def ivf_knn(
     """Approximate `k` nearest rows: only the `probes` nearest cells are read.
 
     `cells` is the corpus with its `cell` column, best written with
-    `write_ivf`, so that the join prunes partitions. With `probes` equal to
+    `write_ivf`, which keeps a folder per cell. With `probes` equal to
     the number of cells the result is exact.
     """
     asked = nearest_cells(queries.select(query_id, vector), centroids, probes, vector)
-    rows = cells.select("cell", id_col, vector)
+    # At most one number per centroid; as a literal filter it prunes folders.
+    probed = [row["cell"] for row in asked.select("cell").distinct().collect()]
+    rows = cells.select("cell", id_col, vector).filter(F.col("cell").isin(probed))
     near = grid_knn(asked, rows, k, query_id, id_col, vector, metric)
     return rank_neighbours(near, k, query_id, id_col, metric)
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import content_key
-from quaestor.operators.scale import salted_join
 
 
 def memoize(
@@ -23,9 +22,10 @@ def memoize(
     """(`rows` with `key`, `value` and `memo_hit`, new memo entries to append).
 
     `memo` holds (key, value, expires_at) and is live while expires_at is after
-    `now`. Copies of one text collapse before the model sees them, and the join
-    back is salted as one text may be a large part of the rows. Write the new
-    entries before reading both results, or the model runs twice.
+    `now`. Copies of one text collapse on the map side before the model sees
+    them; the join back has one row per key on the right, so a text with a large
+    part of the rows is split by the adaptive skew join. Write the new entries
+    before reading both results, or the model runs twice.
     """
     keyed = rows.withColumn("key", content_key(prefix, F.col(text)))
     live = memo.filter(F.col("expires_at") > now).groupBy("key").agg(
@@ -40,5 +40,4 @@ def memoize(
     known = live.select("key", "value", F.lit(True).alias("memo_hit")).unionByName(
         fresh.select("key", "value", F.lit(False).alias("memo_hit"))
     )
-    spread = [c for c in rows.columns if c != text] or [text]
-    return salted_join(keyed, known, ["key"], "left", spread), fresh
+    return keyed.join(known, "key", "left"), fresh

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import query_term_hits
+from quaestor.functions.text import query_term_hits, terms_in
 from quaestor.operators.scale import first_per_key, top_per_group
 
 # Fixed format: the JSON the re-ranking model is asked for.
@@ -99,13 +99,8 @@ def keyword_search(
         .groupBy(query_id, "_limit", "matched_term")
         .agg(F.min("_term_no").alias("_term_no"))
     )
-    literal = F.array(*[F.lit(t) for t in terms])
-    hits = chunks.select(
-        id_col,
-        F.explode(
-            F.filter(literal, lambda t: F.coalesce(F.contains(F.lower("text"), t), F.lit(False)))
-        ).alias("matched_term"),
-    )
+    matched = chunks.select(id_col, terms_in(F.col("text"), terms).alias("_matched"))
+    hits = matched.select(id_col, F.explode("_matched").alias("matched_term"))
     first_hits = top_per_group(hits, ["matched_term"], [F.col(id_col)], k + 1, "_hit_no")
     found = asked.join(first_hits, "matched_term").filter(F.col("_hit_no") <= F.col("_limit"))
     ordered = [F.col("_term_no"), F.col("_hit_no")]

@@ -12,6 +12,9 @@ from quaestor.session import cut_lineage
 # monotonically_increasing_id() keeps the row number in the low 33 bits.
 _ROW_BITS = 33
 
+# Rows of a narrow table (keys and a few numbers) that may be broadcast.
+MAX_BROADCAST_ROWS = 500_000
+
 
 def top_per_group(
     df: DataFrame,
@@ -45,6 +48,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
+def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Write a table meant to be small and mark it for broadcast if it is.
+
+    Above `max_rows` it stays an ordinary side of a join.
+    """
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import keyword_boost, normalized_tokens
@@ -75,17 +75,17 @@ def select_snippets(
     snippets: DataFrame,
     questions: DataFrame,
     k: int = 3,
-    keyword: str = "indokolás",
-    factor: float = 1.5,
+    boost: Callable[[Column, Column], Column] = keyword_boost,
     separator: str = "\n\n---\n\n",
     query_id: str = "query_id",
     id_col: str = "chunk_id",
 ) -> DataFrame:
     """The `k` snippets of each (question, chunk) nearest to the question.
 
-    `snippets` holds (id, snippet_no, snippet, snippet_embedding). Only numbers
-    take part in the ranking; the texts of the winners are joined at the end.
-    One chunk may own many snippets, hence the salt.
+    `snippets` holds (id, snippet_no, snippet, snippet_embedding); `boost` makes
+    a score of the snippet's text and similarity. Only numbers take part in the
+    ranking; the texts of the winners are joined at the end. One chunk may own
+    many snippets, hence the salt.
     """
     vectors = questions.select(query_id, F.col("embedding").alias("_question"))
     asked = pairs.join(vectors, query_id)
@@ -94,7 +94,7 @@ def select_snippets(
         query_id,
         id_col,
         "snippet_no",
-        keyword_boost(F.col("snippet"), similarity, keyword, factor).alias("score"),
+        boost(F.col("snippet"), similarity).alias("score"),
     )
     best = top_per_group(
         scored, [query_id, id_col], [F.col("score").desc(), F.col("snippet_no")], k

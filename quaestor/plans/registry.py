@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaestor.sources.tables import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,3 +28,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Some columns of `documents`, spread over the cores for work on the texts."""
+    scan = table(spark, folder, "documents").select("doc_id", *columns)
+    return spread(scan, "doc_id")

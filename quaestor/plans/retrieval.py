@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quaestor.operators.chunking import chunk_fixed
 from quaestor.operators.ingest import vector_index
 from quaestor.operators.search import select_snippets
 from quaestor.plans import common as cm
-from quaestor.plans.registry import query, table
+from quaestor.plans.registry import documents, query, table
 
 
 @query(
@@ -174,7 +176,7 @@ def keyword_hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder, "text")
     return rt.keyword_search(asked, docs, cm.KEYWORD_RULES, k, id_col="doc_id")
 
 
@@ -401,7 +403,7 @@ SELECT query_id, chunk_id, count(*) AS snippets, round(max(score), 6) AS best_sc
 FROM kept GROUP BY query_id, chunk_id""",
 )
 def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = documents(spark, folder, "text").withColumnRenamed("doc_id", "chunk_id")
     vectors = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding")
     turned = F.concat(
         F.slice("embedding", F.col("turn") + 1, F.size("embedding")),
@@ -418,6 +420,6 @@ def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     pairs = hybrid(spark, folder).select("query_id", "chunk_id")
-    return select_snippets(
-        pairs, snippets, cm.questions(spark, folder).select("query_id", "embedding"), keyword="inin"
-    )
+    asked = cm.questions(spark, folder).select("query_id", "embedding")
+    boost = partial(tx.keyword_boost, keyword="inin")
+    return select_snippets(pairs, snippets, asked, boost=boost)

@@ -11,7 +11,7 @@ from quaestor.functions.embedding import HashEmbedder, embed_udf
 from quaestor.operators import chunking as ck
 from quaestor.operators import search as se
 from quaestor.operators.memo import memoize
-from quaestor.plans.registry import query, table
+from quaestor.plans.registry import documents, query, table
 
 WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 
@@ -23,15 +23,13 @@ WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 FROM documents, range(0, greatest(1, ceil((length(text) - 1024) / 896.0)::BIGINT + 1)) AS r(i)""",
 )
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    chunks = ck.chunk_fixed(docs)
+    chunks = ck.chunk_fixed(documents(spark, folder, "text", "lang"))
     return chunks.select("chunk_id", "doc_id", "lang", "chunk_no", F.char_length("text").alias("chars"))
 
 
 @query("chunk_recursive")
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return ck.chunk_recursive(docs)
+    return ck.chunk_recursive(documents(spark, folder, "text", "lang"))
 
 
 @query(
@@ -135,7 +133,7 @@ WHERE token NOT IN ('', %s) GROUP BY token, doc_id"""
     % ", ".join(f"'{w}'" for w in se.STOP_WORDS),
 )
 def text_index(spark: SparkSession, folder: str) -> DataFrame:
-    return se.text_index(table(spark, folder, "documents"), id_col="doc_id")
+    return se.text_index(documents(spark, folder, "text"), id_col="doc_id")
 
 
 SEARCH_SQL = """tokens AS (SELECT doc_id,
@@ -174,12 +172,13 @@ def text_search_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, mode: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder, "text")
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
     index = se.text_index(docs, id_col="doc_id")
-    return se.text_search(asked, index, docs.count(), mode=mode, id_col="doc_id")
+    total = table(spark, folder, "documents").count()
+    return se.text_search(asked, index, total, mode=mode, id_col="doc_id")
 
 
 EMBED_DIM = 16
@@ -208,7 +207,7 @@ UNION ALL
 SELECT d.doc_id, 'new', f.pos, round(f.value, 5) FROM documents d JOIN fresh f ON f.body = d.text""",
 )
 def embed_memo(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder, "text")
     known = docs.join(table(spark, folder, "labels"), "doc_id")
     now = F.expr("TIMESTAMP'2024-06-01 12:00:00'")
     memo = known.select(
