@@ -207,10 +207,10 @@ def gauge_last(
     )
 
 
-def service_figures(requests: DataFrame, stages: Mapping[str, Column] | None = None) -> DataFrame:
+def service_figures(requests: DataFrame, stages: Mapping[str, str] | None = None) -> DataFrame:
     """The figures the dashboard and the objectives look at, as (metric, value).
 
-    `stages` names stage percentiles with a condition on the rows they cover.
+    `stages` names stage percentiles with an SQL condition on the rows they cover.
     """
     status = F.coalesce("status", F.lit(500))
     length = F.timestamp_diff("SECOND", F.min("ts"), F.max("ts"))
@@ -227,7 +227,7 @@ def service_figures(requests: DataFrame, stages: Mapping[str, Column] | None = N
         latencies.unpivot([], ["p95_latency_s", "p99_latency_s"], "metric", "value")
     )
     if stages:
-        named = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in stages.items()]))
+        named = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in stages.items()]))
         rows = requests.select(F.explode(named).alias("metric"), "latency_s")
         result = result.unionByName(
             exact_percentiles(rows, "latency_s", [0.95], ["value"], ["metric"])

@@ -194,10 +194,7 @@ def gauge_last(spark: SparkSession, folder: str) -> DataFrame:
     return gauges.withColumn("mean_value", F.round("mean_value", 9))
 
 
-STAGES = {
-    "retrieval_p95_s": F.col("endpoint") == "view",
-    "generation_p95_s": F.col("endpoint") == "purchase",
-}
+STAGES = {"retrieval_p95_s": "endpoint = 'view'", "generation_p95_s": "endpoint = 'purchase'"}
 
 FIGURES_SQL = (
     REQUESTS_SQL

@@ -71,7 +71,7 @@ def test_counter_resets_gaps_and_single_samples(spark):
 
 def test_figures_status_and_report(spark):
     rows = [(i, "view" if i % 2 else "buy", 500 if i == 3 else 200, i / 10, i < 9) for i in range(11)]
-    figures = sv.service_figures(log(spark, rows), {"retrieval_p95_s": F.col("endpoint") == "view"})
+    figures = sv.service_figures(log(spark, rows), {"retrieval_p95_s": "endpoint = 'view'"})
     values = {r.metric: round(r.value, 6) for r in figures.collect()}
     assert values["qps"] == 1.1 and values["p95_latency_s"] == 0.95 and values["retrieval_p95_s"] == 0.86
     status = {r.metric: r.status for r in sv.slo_status(figures).collect()}
