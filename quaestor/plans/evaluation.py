@@ -146,8 +146,11 @@ first_answers AS (SELECT * FROM quality QUALIFY row_number() OVER (PARTITION BY
 sides AS (SELECT conv_id || ':p' AS k, array_to_string(key_points, ' ') AS text FROM first_answers
           UNION ALL SELECT conv_id || ':a', answer FROM first_answers),
 vectors AS ({hashed('sides', 'k')}),
-likeness AS (SELECT split_part(a.k, ':', 1)::BIGINT AS conv_id, sum(a.value * p.value) AS semantic_similarity
-  FROM vectors a JOIN vectors p ON p.k = split_part(a.k, ':', 1) || ':p' AND p.pos = a.pos WHERE a.k LIKE '%:a' GROUP BY 1),
+norms AS (SELECT k, sqrt(sum(value * value)) AS norm FROM vectors GROUP BY k),
+likeness AS (SELECT split_part(a.k, ':', 1)::BIGINT AS conv_id,
+  sum(a.value * p.value) / any_value(na.norm * np.norm) AS semantic_similarity
+  FROM vectors a JOIN vectors p ON p.k = split_part(a.k, ':', 1) || ':p' AND p.pos = a.pos
+  JOIN norms na ON na.k = a.k JOIN norms np ON np.k = p.k WHERE a.k LIKE '%:a' GROUP BY 1),
 cases AS (SELECT t.query_id, t.question, t.domain, t.difficulty, r.precision_at_k, r.recall_at_k, r.f1_at_k, r.mrr,
   r.docs, f.answer, f.key_points_coverage, f.citation_count > 0 AS has_citations, f.word_count,
   coalesce(s.semantic_similarity, 0) AS semantic_similarity

@@ -117,7 +117,17 @@ def vector_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("vector_hex")
+# The bits of a float32 from its sign, exponent and fraction, lowest byte first.
+@query(
+    "vector_hex",
+    """WITH parts AS (SELECT vec_id, i, x, abs(x) AS a, floor(log2(abs(x)))::INT AS guess
+  FROM (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, len(embedding) + 1) AS r(i))),
+exact AS (SELECT *, guess + CASE WHEN a / pow(2, guess) >= 2 THEN 1 WHEN a / pow(2, guess) < 1 THEN -1 ELSE 0 END AS e FROM parts),
+bits AS (SELECT vec_id, i, format('{:08x}', CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END)
+  + (e + 127) * 8388608 + ((a / pow(2, e) - 1) * 8388608)::BIGINT END) AS h FROM exact)
+SELECT vec_id, string_agg(h[7:8] || h[5:6] || h[3:4] || h[1:2], '' ORDER BY i) AS hex, true AS same
+FROM bits GROUP BY vec_id""",
+)
 def vector_hex(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", vx.vector_to_hex("embedding").alias("hex"))
     back = vx.hex_to_vector("hex")
@@ -186,7 +196,7 @@ EMBED_DIM = 16
 
 def hashed(texts: str, key: str) -> str:
     """SQL twin of HashEmbedder: (key, pos, value) of a relation's `text`."""
-    return f"""SELECT {key}, pos, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS value FROM (
+    return f"""SELECT {key}, pos, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS value FROM (
   SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {EMBED_DIM} AS pos, count(*)::DOUBLE AS n
   FROM (SELECT {key}, unnest({WORDS_SQL.format('lower(text)')}) AS w FROM {texts}) GROUP BY {key}, pos)"""
 
@@ -233,9 +243,10 @@ def embed_memo(spark: SparkSession, folder: str) -> DataFrame:
 sides AS (SELECT conv_id, turn, 'q' AS side, question AS text FROM turn_pairs
           UNION ALL SELECT conv_id, turn, 'a', answer FROM turn_pairs),
 vectors AS ({hashed("(SELECT conv_id || ':' || turn || ':' || side AS k, text FROM sides)", 'k')}),
-dots AS (SELECT left(a.k, length(a.k) - 2) AS pair, sum(a.value * q.value) AS s
+norms AS (SELECT k, sqrt(sum(value * value)) AS norm FROM vectors GROUP BY k),
+dots AS (SELECT left(a.k, length(a.k) - 2) AS pair, sum(a.value * q.value) / any_value(na.norm * nq.norm) AS s
   FROM vectors a JOIN vectors q ON q.k = left(a.k, length(a.k) - 2) || ':q' AND q.pos = a.pos
-  WHERE a.k LIKE '%:a' GROUP BY 1)
+  JOIN norms na ON na.k = a.k JOIN norms nq ON nq.k = q.k WHERE a.k LIKE '%:a' GROUP BY 1)
 SELECT p.conv_id, p.turn, round(coalesce(d.s, 0), 4) AS similarity
 FROM turn_pairs p LEFT JOIN dots d ON d.pair = p.conv_id || ':' || p.turn""",
 )
