@@ -8,6 +8,8 @@ is the mean vector of that topic, so every row of every table takes part.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,9 @@ BOOST_WEIGHTS = {"thre": 0.2, "estion": 0.3, "inin": 0.1}
 
 
 def topic_vectors(vectors: DataFrame) -> DataFrame:
-    """Mean vector per label; partial sums per (label, position) only."""
-    means = (
-        vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
-        .groupBy("label", "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy("label").agg(F.transform(ordered, lambda p: p["x"]).alias("embedding"))
+    """Mean vector per label; a map task ships one sum per label."""
+    mean = Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))
+    return vectors.groupBy("label").agg(vector_to_array(mean).alias("embedding"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
