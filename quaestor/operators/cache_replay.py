@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from quaestor.operators.scale import salted_join, settle
 from quaestor.session import cut_lineage
 
+# Seconds an entry lives, by what it holds.
+TTL_SECONDS = {"answer": 1800, "rerank": 600, "snippet": 1800, "embedding": 3600}
+
 # Moments of one key that may be folded in a single task; the chains of busier
 # keys are found with joins.
 MAX_FOLD = 10_000

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import content_key
+from quaestor.operators.cache_replay import TTL_SECONDS
 
 
 def memoize(
@@ -17,7 +18,7 @@ def memoize(
     text: str,
     compute: Callable[[Column], Column],
     now: Column,
-    ttl_seconds: int = 3600,
+    ttl_seconds: int = TTL_SECONDS["embedding"],
 ) -> tuple[DataFrame, DataFrame]:
     """(`rows` with `key`, `value` and `memo_hit`, new memo entries to append).
 

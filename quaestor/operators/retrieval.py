@@ -99,8 +99,9 @@ def keyword_search(
         .groupBy(query_id, "_limit", "matched_term")
         .agg(F.min("_term_no").alias("_term_no"))
     )
-    matched = chunks.select(id_col, terms_in(F.col("text"), terms).alias("_matched"))
-    hits = matched.select(id_col, F.explode("_matched").alias("matched_term"))
+    # Exploded at once: behind an alias Spark would also filter on the array's
+    # size and work it out twice.
+    hits = chunks.select(id_col, F.explode(terms_in(F.col("text"), terms)).alias("matched_term"))
     first_hits = top_per_group(hits, ["matched_term"], [F.col(id_col)], k + 1, "_hit_no")
     found = asked.join(first_hits, "matched_term").filter(F.col("_hit_no") <= F.col("_limit"))
     ordered = [F.col("_term_no"), F.col("_hit_no")]

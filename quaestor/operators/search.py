@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaestor.functions.text import keyword_boost, normalized_tokens
 from quaestor.functions.vectors import cosine
 from quaestor.operators.scale import salted_join, top_per_group
+from quaestor.session import cut_lineage
 
 # English stop words left out of the index.
 STOP_WORDS = (
@@ -51,9 +52,9 @@ def text_search(
         .withColumn("terms", F.array_except("terms", F.array(*[F.lit(w) for w in STOP_WORDS])))
         .select(query_id, F.size("terms").alias("wanted"), F.explode("terms").alias("token"))
     )
-    # Only postings of asked tokens go on; the semi join also reaches below the
-    # index's own aggregation, and both uses share one shuffle.
-    postings = index.join(terms.select("token").distinct(), "token", "left_semi")
+    # Only postings of asked tokens go on. They are written once, as both the
+    # frequencies and the scores need them and texts are dear to read twice.
+    postings = cut_lineage(index.join(terms.select("token").distinct(), "token", "left_semi"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "token").withColumn("idf", F.log(F.lit(float(documents)) / F.col("df")))
     scored = (

@@ -9,7 +9,7 @@ from quaestor.functions import vectors as vx
 from quaestor.operators import evaluate as ev
 from quaestor.operators.scale import first_per_key
 from quaestor.plans import common as cm
-from quaestor.plans.registry import query, table
+from quaestor.plans.registry import query
 from quaestor.plans.retrieval import HYBRID_MERGE_SQL, merged_evidence
 from quaestor.plans.text import PAIRS_SQL, WORDS_SQL, embed, hashed, turn_pairs
 

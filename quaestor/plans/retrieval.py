@@ -13,6 +13,7 @@ from quaestor.operators import knn as nn
 from quaestor.operators import retrieval as rt
 from quaestor.operators.chunking import chunk_fixed
 from quaestor.operators.ingest import vector_index
+from quaestor.operators.scale import settle
 from quaestor.operators.search import select_snippets
 from quaestor.plans import common as cm
 from quaestor.plans.registry import documents, query, table
@@ -403,7 +404,10 @@ SELECT query_id, chunk_id, count(*) AS snippets, round(max(score), 6) AS best_sc
 FROM kept GROUP BY query_id, chunk_id""",
 )
 def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder, "text").withColumnRenamed("doc_id", "chunk_id")
+    # Candidates first: only their texts are cut into snippets.
+    pairs = settle(hybrid(spark, folder).select("query_id", "chunk_id"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = docs.join(pairs, "chunk_id", "left_semi")
     vectors = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding")
     turned = F.concat(
         F.slice("embedding", F.col("turn") + 1, F.size("embedding")),
@@ -419,7 +423,6 @@ def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
             turned.alias("snippet_embedding"),
         )
     )
-    pairs = hybrid(spark, folder).select("query_id", "chunk_id")
     asked = cm.questions(spark, folder).select("query_id", "embedding")
     boost = partial(tx.keyword_boost, keyword="inin")
     return select_snippets(pairs, snippets, asked, boost=boost)

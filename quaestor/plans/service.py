@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.operators import service as sv
+from quaestor.operators.cache_replay import TTL_SECONDS
 from quaestor.operators.cache_replay import ttl_cache_replay as replay
 from quaestor.plans.common import epoch_micros, epoch_seconds
 from quaestor.plans.registry import query, table
@@ -316,7 +317,8 @@ def _replay(spark: SparkSession, folder: str, key: str, max_fold: int) -> DataFr
     log = table(spark, folder, "events").select(
         "event_id", F.col(key).alias("key"), epoch_micros(F.col("ts")).alias("at")
     )
-    labelled = replay(log, 1800 * 1_000_000, id_col="event_id", max_fold=max_fold)
+    micros = TTL_SECONDS["answer"] * 1_000_000
+    labelled = replay(log, micros, id_col="event_id", max_fold=max_fold)
     return labelled.select("event_id", "key", "cache_hit")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from quaestor.operators import evaluate as ev
 from quaestor.operators import retrieval as rt
@@ -125,7 +124,6 @@ def test_keyword_rerank(spark):
         rows, "query_id int, chunk_id string, text string, question string, relevance double, rank int"
     )
     weights = {"btk": 0.2, "bűnszervezet": 0.3, "törvény": 0.1}
-    # c1: btk, az? no; a? no; mi? no -> terms btk + 'az' absent; see the letters below.
     expected = []
     for _, c, text, question, base, rank in rows:
         hits = sum(1 for w in set(question.lower().split()) if w in text.lower())
@@ -263,4 +261,3 @@ def test_compile_needs_both_sides(spark, cases):
     similarity = spark.createDataFrame([(1, 0.1)], "query_id int, semantic_similarity double")
     row = ev.compile_cases(truth, retrieval, answers, similarity).collect()
     assert [(r.query_id, r.semantic_similarity) for r in row] == [(2, 0.0)]
-    assert F is not None
