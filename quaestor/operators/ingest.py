@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.operators.chunking import chunk_key
-from quaestor.operators.scale import first_per_key, running_total, settle, top_per_group
+from quaestor.operators.scale import (
+    first_per_key,
+    join_with_nulls,
+    running_total,
+    settle,
+    top_per_group,
+)
 
 
 def modal_dimension(df: DataFrame, vector: str = "embedding") -> int:
@@ -76,17 +82,17 @@ def ingest_totals(offered: DataFrame, inserted: DataFrame, batch: str = "batch")
 def orphans(child: DataFrame, parent: DataFrame, key: str = "doc_id") -> DataFrame:
     """Child rows whose key is set but has no parent.
 
-    The key check runs on distinct keys, so a parent with a third of all
-    children costs one row; the rows themselves move only for orphan keys.
+    The check runs on distinct keys, so a parent with a third of all children
+    costs one row. Missing keys are few as a rule, and then no child row moves.
     """
     keys = child.select(key).filter(F.col(key).isNotNull()).distinct()
-    missing = keys.join(parent.select(key), key, "left_anti")
+    missing = settle(keys.join(parent.select(key), key, "left_anti"))
     return child.join(missing, key, "left_semi")
 
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str = "doc_id") -> DataFrame:
     """Child rows that stay when the `deleted` parents go."""
-    return child.join(deleted.select(key).distinct(), key, "left_anti")
+    return child.join(settle(deleted.select(key).distinct()), key, "left_anti")
 
 
 def batch_done(
@@ -141,33 +147,34 @@ def ingest_progress(
 
 
 def stratified_sample(
-    df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42, digits: int = 3
+    df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42, digits: int = 4
 ) -> DataFrame:
     """Exactly round(fraction * n) rows of each stratum, the same on every run.
 
-    Rows rank by md5(key, seed). A count per (stratum, leading hex digits of
-    the hash) tells which hash ranges are in, out or on the border; only rows
-    of a border range, about one in 16**digits, are ever sorted.
+    Rows rank by md5(key, seed). Counts per (stratum, leading hex digits of the
+    hash) give each stratum's border range: rows in ranges before it are in,
+    rows after it out, and only those in it, one in 16**digits, are sorted.
     """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
     hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))))
     hashed = hashed.withColumn("_range", F.substring("_hash", 1, digits))
     counts = hashed.groupBy(stratum, "_range").agg(F.count("*").alias("_n"))
-    by_range = Window.partitionBy(stratum).orderBy("_range")
-    whole = Window.partitionBy(stratum)
+    upto = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    want = F.bround(F.sum("_n").over(Window.partitionBy(stratum)) * fraction, 0).cast("long")
     borders = (
-        counts.withColumn("_upto", F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_want", F.bround(F.sum("_n").over(whole) * fraction, 0).cast("long"))
-        .withColumn("_room", F.col("_want") - (F.col("_upto") - F.col("_n")))
-        .filter(F.col("_room") > 0)
-        .select(stratum, "_range", "_room", (F.col("_upto") <= F.col("_want")).alias("_all"))
+        counts.withColumn("_upto", F.sum("_n").over(upto))
+        .withColumn("_want", want)
+        .filter(F.col("_upto") >= F.col("_want"))
+        .groupBy(stratum)
+        .agg(F.min_by(F.struct("_range", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_room")), "_range").alias("_b"))
+        .select(stratum, F.col("_b._range").alias("_border"), "_b._room")
     )
-    # Strata times ranges: without a broadcast the whole table would move.
-    marked = hashed.join(settle(borders), [stratum, "_range"])
-    inside = marked.filter("_all")
-    border_rank = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
-    border = marked.filter("NOT _all").withColumn("_rank", border_rank)
+    # A row per stratum; as a broadcast the table itself need not move.
+    marked = join_with_nulls(hashed, settle(borders), [stratum])
+    inside = marked.filter(F.col("_range") < F.col("_border"))
+    rank = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
+    border = marked.filter(F.col("_range") == F.col("_border")).withColumn("_rank", rank)
     border = border.filter(F.col("_rank") <= F.col("_room"))
     return inside.select(*df.columns).unionByName(border.select(*df.columns))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.operators.scale import running_total
+from quaestor.operators.scale import join_with_nulls, running_total
 
 # A percentile buffer keeps every distinct value; above this many per group the
 # values are range-sorted instead.
@@ -64,7 +64,7 @@ def _sorted_percentiles(
     placed = running_total(counts, [value], F.col("_n"), "_before", group)
     totals = present.groupBy(*group).agg(F.count("*").alias("_total"))
     if group:
-        placed = placed.join(totals, list(group))
+        placed = join_with_nulls(placed, totals, group)
     else:
         placed = placed.withColumn("_total", F.lit(totals.first()["_total"]))
     picks = []

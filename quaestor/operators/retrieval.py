@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import query_term_hits, terms_in
-from quaestor.operators.scale import first_per_key, top_per_group
+from quaestor.operators.scale import first_per_key, settle, top_per_group
 
 # Fixed format: the JSON the re-ranking model is asked for.
 RANKED_SCHEMA = (
@@ -28,10 +28,19 @@ def fetch_by_ids(
 
     Ids the store does not hold are dropped.
     """
-    first = wanted.groupBy(key).agg(F.min(order).alias(order))
+    first = settle(wanted.groupBy(key).agg(F.min(order).alias(order)))
     return store.join(first, key)
 
 
+def with_chunks(near: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Search results with the columns of `store`; chunks it lacks are dropped.
+
+    Results are at most k rows per question. They are written first, so the
+    search runs once and the big table stays where it is if they are few.
+    """
+    return settle(near).join(store, key)
+
+
 def map_positions(found: DataFrame, index: DataFrame, pos: str = "pos") -> DataFrame:
     """Positions of a vector index to chunk ids; unknown positions are dropped."""
     return found.join(index, pos)

@@ -57,6 +57,13 @@ def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= max_rows else written
 
 
+def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -109,9 +116,11 @@ def running_total(
         .orderBy("_seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    counted = sorted_rows.withColumn(
+        "_inner", F.coalesce(F.sum("_weight").over(inside), F.lit(0))
+    )
     return (
-        sorted_rows.withColumn("_inner", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(offsets, ["_part", *group])
+        join_with_nulls(counted, offsets, ["_part", *group])
         .withColumn(total, F.col("_offset") + F.col("_inner"))
         .drop("_part", "_seq", "_weight", "_inner", "_offset")
     )
@@ -137,10 +146,11 @@ def lag_in_slices(
     carried = last.select(
         *keys, F.lag("_last").over(Window.partitionBy(*series).orderBy("_slice")).alias("_carry")
     )
+    lagged = sliced.withColumn("_lag", F.lag(value).over(inside)).withColumn(
+        "_first", F.row_number().over(inside) == 1
+    )
     return (
-        sliced.withColumn("_lag", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carried, keys)
+        join_with_nulls(lagged, carried, keys)
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_slice", "_lag", "_first", "_carry")
     )

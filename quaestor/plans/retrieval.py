@@ -45,8 +45,8 @@ def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """Scored candidates with their texts; chunks without a text are dropped."""
-    near = cm.candidates(spark, folder)
-    return rt.score_hybrid(near.join(cm.chunk_texts(spark, folder), "chunk_id"))
+    near = rt.with_chunks(cm.candidates(spark, folder), cm.chunk_texts(spark, folder))
+    return rt.score_hybrid(near)
 
 
 @query(
@@ -349,7 +349,7 @@ def authority_rank(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("chunk_id") % 3 + 1).alias("court_rank"),
         (F.col("chunk_id") % 20 + 2000).alias("year"),
     )
-    near = cm.candidates(spark, folder).select("query_id", "chunk_id").join(facts, "chunk_id")
+    near = rt.with_chunks(cm.candidates(spark, folder).select("query_id", "chunk_id"), facts)
     return rt.authority_rank(near).select(
         "query_id", "chunk_id", "score", "court_rank", "year", "rank"
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 
 from quaestor.operators.knn import knn
-from quaestor.operators.retrieval import score_hybrid
+from quaestor.operators.retrieval import score_hybrid, with_chunks
 from quaestor.session import cut_lineage
 from quaestor.streaming.sinks import drain, put_batch
 
@@ -29,7 +29,7 @@ def question_stream(
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         asked = batch if embed is None else cut_lineage(batch.withColumn("embedding", embed("question")))
-        near = knn(asked, corpus, k).join(corpus.select("chunk_id", "text"), "chunk_id")
+        near = with_chunks(knn(asked, corpus, k), corpus.select("chunk_id", "text"))
         put_batch(score_hybrid(near, alpha), target, batch_id)
 
     drain(questions.writeStream.foreachBatch(answer), checkpoint)

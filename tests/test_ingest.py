@@ -127,6 +127,18 @@ def test_lag_over_slices(spark):
         assert row.before == want
 
 
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a", float(i)) for i in range(40)], "id int, g string, v double")
+    sample = Counter(r.g for r in ig.stratified_sample(df, "g", "id", 0.5).collect())
+    assert sample == {None: 10, "a": 10}
+    assert sc.running_total(df, ["id"], F.lit(1), "n", ["g"]).count() == 40
+    lagged = sc.lag_in_slices(df, ["g"], ["id"], F.floor(F.col("id") / 7), "v", "before")
+    assert lagged.filter("before = v - 2").count() == 38
+    for limit in (100, 0):
+        medians = pf.exact_percentiles(df, "v", [0.5], ["m"], ["g"], max_distinct=limit)
+        assert {r.g: r.m for r in medians.collect()} == {"a": 19.0, None: 20.0}
+
+
 def test_salted_join_keeps_every_row(spark):
     left = spark.range(1000).select(F.lit("hot").alias("k"), "id")
     left = left.unionByName(spark.range(3).select(F.lit("cold").alias("k"), "id"))
