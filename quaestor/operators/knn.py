@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.operators.scale import top_per_group
+from quaestor.operators.scale import settle, top_per_group
+from quaestor.session import cut_lineage
 
 # One task holds at most this many questions as a matrix; a larger batch goes
 # through the sharded join below.
@@ -130,16 +131,19 @@ def knn(
     rows = corpus.select(id_col, vector).filter(F.col(vector).isNotNull())
     batch = wanted.limit(max_broadcast + 1).toArrow()
     if batch.num_rows > max_broadcast:
-        one = F.lit(0).cast("int")
         near = grid_knn(
-            wanted.withColumn("cell", one), rows.withColumn("cell", one),
-            k, query_id, id_col, vector, metric,
-        )
+            _one_cell(wanted, query_id), _one_cell(rows, id_col), k, query_id, id_col, vector, metric
+        )
     else:
         near = _scan_knn(batch, rows, _result_schema(wanted, rows, query_id, id_col), k, metric)
     return rank_neighbours(near, k, query_id, id_col, metric)
 
 
+def _one_cell(df: DataFrame, id_col: str) -> DataFrame:
+    # Always 0, but no literal: a join on a literal would turn into a cross join.
+    return df.withColumn("cell", F.pmod(F.xxhash64(id_col), F.lit(1)).cast("int"))
+
+
 def rank_neighbours(
     near: DataFrame, k: int, query_id: str, id_col: str, metric: str
 ) -> DataFrame:
@@ -196,8 +200,8 @@ def grid_knn(
     """
     row_shards = F.ceil(F.count("*") / shard_rows).alias("row_shards")
     query_shards = F.ceil(F.count("*") / shard_queries).alias("query_shards")
-    # One row per cell, and the centroids of all cells fit the driver.
-    sizes = F.broadcast(
+    # One row per cell, counted once for both sides.
+    sizes = settle(
         corpus.groupBy("cell").agg(row_shards).join(
             queries.groupBy("cell").agg(query_shards), "cell"
         )
@@ -284,7 +288,9 @@ def ivf_knn(
     `write_ivf`, which keeps a folder per cell. With `probes` equal to
     the number of cells the result is exact.
     """
-    asked = nearest_cells(queries.select(query_id, vector), centroids, probes, vector)
+    asked = cut_lineage(
+        nearest_cells(queries.select(query_id, vector), centroids, probes, vector)
+    )
     # At most one number per centroid; as a literal filter it prunes folders.
     probed = [row["cell"] for row in asked.select("cell").distinct().collect()]
     rows = cells.select("cell", id_col, vector).filter(F.col("cell").isin(probed))

@@ -7,6 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from quaestor.operators.knn import knn
+from quaestor.plans.common import chunk_vectors, questions
 from tests.oracle import folder
 
 QUERIES = entry.queries()
@@ -49,3 +51,10 @@ def test_python_only_where_needed(spark, key):
 @pytest.mark.parametrize("key", ["qps_windows", "canary_assign", "word_counts", "request_valid"])
 def test_at_most_one_shuffle(spark, key):
     assert plan(spark, key).count("Exchange") <= 1
+
+
+def test_large_question_batches_meet_without_a_cross_join(spark):
+    near = knn(questions(spark, folder()), chunk_vectors(spark, folder()), 5, max_broadcast=3)
+    text = near._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
