@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,28 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for tables between jobs.
 
-    The folder is the one the session names in `spark.checkpoint.dir`; only a
-    session without one (tests, notebooks) gets a folder of its own. The
-    result survives the loss of executors and has stable partitions.
+    It is the one the session names in `spark.checkpoint.dir`. Only a session
+    whose driver and executors are one process on one machine gets a folder of
+    its own; any other must name one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quaestor-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quaestor-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back.
+
+    The result survives the loss of executors and has stable partitions.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
