@@ -7,7 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.llm import packing, token_files
+from quaestor.llm import (
+    decontaminate,
+    kn_classifier,
+    near_dup,
+    packing,
+    quality_rules,
+    secrets,
+    token_files,
+    url_rules,
+)
 from quaestor.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,13 +39,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_spaced_seeds")
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, items)
+
+
+@query("op3_perplexity_bands")
+def op3_perplexity_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
+@query("op4_rarest_token_rules")
+def op4_rarest_token_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, folder, "pages"))
+
+
 @query("op6_vector_packing")
 def op6_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op7_hyperminhash")
+def op7_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_orc_tokens")
 def op8_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, folder, "documents"), path)
     return token_files.digest(token_files.read_tokens(spark, path))
+
+
+@query("op9_kneser_ney_classifier")
+def op9_kneser_ney_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Trusted are the documents that `labels` gives quality 1 and not toxic."""
+    labels = table(spark, folder, "labels")
+    trusted = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return kn_classifier.classify(table(spark, folder, "documents"), trusted)
+
+
+@query("op10_trigram_secrets")
+def op10_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
