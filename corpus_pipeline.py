@@ -1,23 +1,80 @@
-"""A corpus from raw documents to packed sequences, stage by stage."""
+"""A corpus from raw documents to packed sequences, stage by stage.
+
+Each stage is one of the operators of `quaestor.llm` with its decision applied:
+what it returns is written, and the next stage reads that. All but the last
+return the columns they were given. Null ids and repeated rows are handled as
+the operators say; an empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quaestor.llm import packing
+from quaestor.llm import decontaminate, language, near_dup, packing, secrets
+from quaestor.llm.bloom import anti_join
+from quaestor.llm.stored import stored
 from quaestor.session import shared_folder
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the string kernel tells; the rest go."""
+    model = language.fit(language.sample_of(docs))
+    return language.keep_identified(docs, model)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest id.
+
+    Of an id that is kept and occurs in several rows, one row stays, the first
+    by text; such ids are few, and only their rows are ranked.
+    """
+    groups = stored(near_dup.near_duplicates(docs), "groups")
+    dropped = groups.filter(~F.col("kept")).select("doc_id").distinct()
+    left = anti_join(docs, stored(dropped, "dropped"), "doc_id")
+    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    again = stored(again.select("doc_id"), "again")
+    if again.isEmpty():
+        return left
+    several = left.join(again, "doc_id", "left_semi").select(*left.columns)
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = several.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return anti_join(left, again, "doc_id").union(one)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(docs, items).select("doc_id").distinct()
+    return anti_join(docs, stored(found, "contaminated"), "doc_id")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by its kind; `n_chars` follows."""
+    clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    length = F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", length)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language", identified),
+    ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 
-#: SQL cannot tokenise, and so cannot express the last stage; see tests/llm.
+#: SQL expresses neither the language model nor the tokenizer; the tests hold
+#: the rows against a plain computation of every stage.
 ORACLE_SQL = None
 
 

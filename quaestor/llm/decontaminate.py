@@ -101,8 +101,7 @@ def item_tokens(items: DataFrame, rule: Rule, id_col: str, text_col: str) -> Dat
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, item_place) of every mask at every place of an item."""
-    kind = items.schema["item_id"].dataType.simpleString()
+    """(seed, item, item_place) of every mask at every place of (item, item_tokens)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +116,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
                     batch.column(0).take(pa.array(document[at])),
                     pa.array((at - begin[document[at]]).astype(np.int32)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["seed", "item_id", "item_place"])
+                yield pa.RecordBatch.from_arrays(columns, ["seed", "item", "item_place"])
 
-    return items.mapInArrow(task, f"seed bigint, item_id {kind}, item_place int")
+    return items.mapInArrow(task, "seed bigint, item bigint, item_place int")
 
 
 def hit_groups(docs: DataFrame, words: np.ndarray, rule: Rule, id_col: str, text_col: str) -> DataFrame:
@@ -200,18 +199,20 @@ def contaminated(
 
     Starts count tokens from 0. Documents without an overlap have no row.
     """
-    known = stored(item_tokens(items, rule, item_id_col, item_text_col), "items")
-    planted = stored(item_seeds(known), "seeds")
+    read = item_tokens(items, rule, item_id_col, item_text_col)
+    # A number of its own lets an item without an id take part in joins.
+    known = stored(read.withColumn("item", F.monotonically_increasing_id()), "items")
+    planted = stored(item_seeds(known.select("item", "item_tokens")), "seeds")
     words = bloom(planted.select("seed"))
     groups = stored(hit_groups(docs, words, rule, id_col, text_col), "hits")
 
     hits = groups.select("group", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("group", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
-    laid = stored(hits.join(planted, "seed").select("group", "item_id", diagonal).distinct(), "diagonals")
+    laid = stored(hits.join(planted, "seed").select("group", "item", diagonal).distinct(), "diagonals")
     compared = (
         laid.join(groups.select("group", "doc_id", "start", "doc_tokens"), "group")
-        .join(known, "item_id")
+        .join(known, "item")
         .select("doc_id", "item_id", "start", "diagonal", "doc_tokens", "item_tokens")
     )
     kinds = [known.schema["item_id"].dataType.simpleString(), groups.schema["doc_id"].dataType.simpleString()]
