@@ -13,14 +13,18 @@ by a fixed random table, so small sets fill all registers too.
    minima compress to the same register, discards candidates that lie more than
    five standard errors below the threshold; what is left is confirmed on the
    full sets, cut from the whole texts.
-4. Confirmed links make components. Bands whose nodes still lie in different
-   components are opened once more, and their pairs across components checked
-   the same way; pairs inside a component could not change the result.
-
-Two texts at the threshold of 0.85 share no band with a chance below 1e-6.
-Bands that hold many nodes hold near copies, which step 2 links in a star; pairs
-across components are met in bands where unlike documents fall together by
-chance (0.02 % per band at a similarity of 0.3).
+4. Confirmed links make components. A band whose nodes still lie in different
+   components is open: step 2 compared its nodes with one of them only. The nodes
+   of open bands are joined once more, on their rarest shingles: of a set of n,
+   a link needs one common shingle among the n - 0.85 n + 1 that fewest of these
+   nodes have, early enough to leave room for the rest of the overlap. Pairs
+   inside a component are left out, as they could not change the result. What is
+   left goes through step 3.
+
+Two texts at the threshold of 0.85 share no band with a chance below 1e-6. Step 4
+is exact for the nodes it takes, and never lists the pairs of a band: a thousand
+copies with edits of their own, too far apart to link, differ in their rarest
+shingles.
 
 Null and empty texts have the empty set and link with nothing. Repeated rows of
 an id get the same component; if an id has several texts, each row gets the
@@ -36,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm.bloom import semi_join
@@ -222,6 +226,51 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, n, shingle): a row per distinct shingle of each text."""
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def make(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
+        sets = shingle_sets(block)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        columns = [
+            batch.column(0)[block.rows].take(pa.array(np.repeat(np.arange(len(sets)), sizes))),
+            pa.array(np.repeat(sizes, sizes)),
+            pa.array(np.concatenate(sets).view(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["node", "n", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(
+        lambda batches: map_blocks(batches, 1, make), f"node {kind}, n bigint, shingle bigint"
+    )
+
+
+def _sharing_rare(rows: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of different components that may link, by their rarest shingles.
+
+    Before its first common shingle, at place p of its order, a set of n has
+    nothing in common with the other: at most n - p is left for the overlap.
+    """
+    rows = stored(rows, "shingles")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).filter(F.col("held") > 1)
+    # Shingles of one node only come first in its order, whatever their order there.
+    common = rows.join(held, "shingle")
+    first = Window.partitionBy("node", "n").orderBy("held", "shingle")
+    placed = common.withColumn("_rank", F.row_number().over(first)).withColumn(
+        "_common", F.count("*").over(Window.partitionBy("node", "n"))
+    )
+    place = F.col("n") - F.col("_common") + F.col("_rank") - 1
+    reach = F.col("n") - F.floor((F.col("n") * rule.percent + 99) / 100) + 1
+    early = placed.withColumn("place", place).filter(F.col("place") < reach)
+    early = early.join(nodes, "node").select("shingle", "node", "component", "n", "place")
+    left = early.toDF("shingle", "a", "x", "n", "p")
+    right = early.toDF("shingle", "b", "y", "m", "q")
+    room = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    enough = 100 * room >= rule.percent * (F.col("n") + F.col("m") - room)
+    apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))
+    return left.join(right, "shingle").filter(apart & enough).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b), for nodes with links.
 
@@ -299,20 +348,13 @@ def near_duplicates(
         .filter(F.col("_low") != F.col("_high"))
         .select("band")
     )
-    left = named.join(open_bands, "band", "left_semi")
-    right = left.toDF("band", "b", "m", "other")
-    fit = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * rule.percent
-    across = (
-        left.withColumnRenamed("node", "a")
-        .join(right, "band")
-        .filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & fit)
-        .select("a", "b")
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
+    unsure = named.join(open_bands, "band", "left_semi").select("node", "component").distinct()
+    unsure = stored(unsure, "unsure")
+    own_texts = stored(semi_join(texts, unsure.select("node"), "node").distinct(), "texts")
+    across = _sharing_rare(_shingle_rows(own_texts), unsure, rule).join(pairs, ["a", "b"], "left_anti")
     promising = stored(_promising(across, nodes, rule), "across")
     if not promising.isEmpty():
-        more = stored(_confirmed(promising, texts, rule), "more")
+        more = stored(_confirmed(promising, own_texts, rule), "more")
         if not more.isEmpty():
             labels = components(links.union(more))
 
