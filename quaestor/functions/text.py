@@ -19,9 +19,13 @@ def terms_in(text: Column, terms: Sequence[str]) -> Column:
     return bind(F.lower(text), lambda low: F.filter(listed, lambda t: F.contains(low, t)))
 
 
+# Unicode white space, with the four separators that Java leaves out.
+_WHITE = r"(?U)[\s\x1c-\x1f]+"
+
+
 def words(text: Column) -> Column:
-    """Whitespace-separated words; an empty text has none."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    """Words between Unicode white space; an empty text has none."""
+    return F.filter(F.split(text, _WHITE), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

@@ -137,15 +137,23 @@ def answer_quality(
 
 
 def compile_cases(
-    truth: DataFrame, retrieval: DataFrame, answers: DataFrame, similarity: DataFrame
+    truth: DataFrame,
+    retrieval: DataFrame,
+    answers: DataFrame,
+    similarity: DataFrame,
+    case: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """One flat record per case that has retrieval metrics and an answer."""
+    """One flat record per answer to a question that has retrieval metrics.
+
+    A question may have many answers; `case` names the columns that tell them
+    apart, which `answers` and `similarity` share.
+    """
     known = [c for c in truth.columns if c in ("query_id", "question", "domain", "difficulty")]
     return (
         truth.select(*known)
         .join(retrieval, "query_id")
         .join(answers.drop(*[c for c in known if c != "query_id"]), "query_id")
-        .join(similarity, "query_id", "left")
+        .join(similarity, list(case), "left")
         .withColumn("semantic_similarity", F.coalesce("semantic_similarity", F.lit(0.0)))
     )
 
@@ -214,11 +222,11 @@ def recommendations(cases: DataFrame) -> DataFrame:
     return means.filter(F.col("value") < ADVICE_BELOW).join(rules, "component")
 
 
-def best_and_worst(cases: DataFrame) -> DataFrame:
+def best_and_worst(cases: DataFrame, case: Sequence[str] = ("query_id",)) -> DataFrame:
     """The cases with the highest and the lowest coverage, the first on a tie."""
-    row = F.struct("query_id", "domain", "difficulty", "key_points_coverage")
-    best = F.max_by(row, F.struct(F.col("key_points_coverage"), -F.col("query_id")))
-    worst = F.min_by(row, F.struct("key_points_coverage", "query_id"))
+    row = F.struct(*case, "domain", "difficulty", "key_points_coverage")
+    best = F.min_by(row, F.struct(-F.col("key_points_coverage"), *case))
+    worst = F.min_by(row, F.struct("key_points_coverage", *case))
     both = F.array(
         F.struct(F.lit("best").alias("kind"), best.alias("row")),
         F.struct(F.lit("worst").alias("kind"), worst.alias("row")),
@@ -226,10 +234,10 @@ def best_and_worst(cases: DataFrame) -> DataFrame:
     return cases.agg(both.alias("_both")).select(F.inline("_both")).select("kind", "row.*")
 
 
-def summary(cases: DataFrame) -> DataFrame:
+def summary(cases: DataFrame, case: Sequence[str] = ("query_id",)) -> DataFrame:
     """The report's columns, questions cut to 50 characters with a mark."""
     return cases.select(
-        "query_id",
+        *case,
         F.concat(F.substring("question", 1, 50), F.lit("...")).alias("question"),
         "domain",
         "difficulty",

@@ -12,9 +12,9 @@ from quaestor.operators.scale import (
     first_per_key,
     join_with_nulls,
     running_total,
-    settle,
     top_per_group,
 )
+from quaestor.session import cut_lineage
 
 
 def modal_dimension(df: DataFrame, vector: str = "embedding") -> int:
@@ -56,19 +56,26 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def insert_ignore(
-    incoming: DataFrame, target: DataFrame, key: str = "chunk_id", order: Sequence[str] = ("doc_id",)
+    incoming: DataFrame,
+    target: DataFrame,
+    key: str = "chunk_id",
+    order: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """The incoming rows to append: new keys only, the first row of each.
+    """The incoming rows to append: new keys only, the first row of each by `order`.
+
+    Rows that `order` leaves equal are told apart by their other columns, so the
+    choice is the same on every run.
 
     Copies collapse on the map side, so the anti join meets each key once and
     finds the rows already partitioned by it. Of the target only keys are read.
     """
-    single = first_per_key(incoming, [key], order)
+    rest = [c for c, kind in incoming.dtypes if c not in (key, *order) and "map<" not in kind]
+    single = first_per_key(incoming, [key], [*order, *rest])
     return single.join(target.select(key), key, "left_anti")
 
 
 def ingest_totals(offered: DataFrame, inserted: DataFrame, batch: str = "batch") -> DataFrame:
-    """Rows offered, inserted and skipped per batch, and overall (null batch)."""
+    """Rows offered, inserted and skipped per batch, and `overall` in a row of its own."""
     both = offered.select(batch, F.lit(1).alias("offered"), F.lit(0).alias("inserted")).unionAll(
         inserted.select(batch, F.lit(0), F.lit(1))
     )
@@ -86,13 +93,13 @@ def orphans(child: DataFrame, parent: DataFrame, key: str = "doc_id") -> DataFra
     costs one row. Missing keys are few as a rule, and then no child row moves.
     """
     keys = child.select(key).filter(F.col(key).isNotNull()).distinct()
-    missing = settle(keys.join(parent.select(key), key, "left_anti"))
+    missing = cut_lineage(keys.join(parent.select(key), key, "left_anti"))
     return child.join(missing, key, "left_semi")
 
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, key: str = "doc_id") -> DataFrame:
     """Child rows that stay when the `deleted` parents go."""
-    return child.join(settle(deleted.select(key).distinct()), key, "left_anti")
+    return child.join(cut_lineage(deleted.select(key).distinct()), key, "left_anti")
 
 
 def batch_done(
@@ -133,17 +140,16 @@ def ingest_progress(
     hits = rows.select(batch, key).join(
         loaded.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left"
     )
-    counts = hits.groupBy(batch).agg(F.count("*").alias("rows"), F.count("_hit").alias("loaded"))
-    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One row per batch from here on.
-    prefix = F.min((F.col("rows") == F.col("loaded")).cast("int")).over(before)
-    return counts.withColumn("_prefix", prefix).select(
-        batch,
-        "rows",
-        "loaded",
-        (F.col("rows") == F.col("loaded")).alias("complete"),
-        F.max(F.when(F.col("_prefix") == 1, F.col(batch))).over(Window.partitionBy()).alias("resume_after"),
+    counts = cut_lineage(
+        hits.groupBy(batch)
+        .agg(F.count("*").alias("rows"), F.count("_hit").alias("loaded"))
+        .withColumn("complete", F.col("rows") == F.col("loaded"))
     )
+    # The prefix ends before the first incomplete batch: two aggregates, a value each.
+    first_open = counts.filter(~F.col("complete")).agg(F.min(batch)).first()[0]
+    prefix = counts if first_open is None else counts.filter(F.col(batch) < F.lit(first_open))
+    last = F.lit(prefix.agg(F.max(batch)).first()[0]).cast(counts.schema[batch].dataType)
+    return counts.select(batch, "rows", "loaded", "complete", last.alias("resume_after"))
 
 
 def stratified_sample(
@@ -151,13 +157,14 @@ def stratified_sample(
 ) -> DataFrame:
     """Exactly round(fraction * n) rows of each stratum, the same on every run.
 
-    Rows rank by md5(key, seed). Counts per (stratum, leading hex digits of the
+    Rows rank by md5(key, seed), a null key as an empty one. Counts per (stratum, leading hex digits of the
     hash) give each stratum's border range: rows in ranges before it are in,
     rows after it out, and only those in it, one in 16**digits, are sorted.
     """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be above 0 and at most 1")
-    hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))))
+    named = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    hashed = df.withColumn("_hash", F.md5(F.concat(named, F.lit(f"|{seed}"))))
     hashed = hashed.withColumn("_range", F.substring("_hash", 1, digits))
     counts = hashed.groupBy(stratum, "_range").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(stratum).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
@@ -171,7 +178,7 @@ def stratified_sample(
         .select(stratum, F.col("_b._range").alias("_border"), "_b._room")
     )
     # A row per stratum; as a broadcast the table itself need not move.
-    marked = join_with_nulls(hashed, settle(borders), [stratum])
+    marked = join_with_nulls(hashed, cut_lineage(borders), [stratum])
     inside = marked.filter(F.col("_range") < F.col("_border"))
     rank = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
     border = marked.filter(F.col("_range") == F.col("_border")).withColumn("_rank", rank)
@@ -179,12 +186,23 @@ def stratified_sample(
     return inside.select(*df.columns).unionByName(border.select(*df.columns))
 
 
+def vector_positions(
+    chunks: DataFrame, id_col: str = "chunk_id", vector: str = "embedding"
+) -> DataFrame:
+    """(id, pos): rows with a vector numbered densely from 0 in id order.
+
+    Only ids are sorted and written.
+    """
+    ids = chunks.filter(F.col(vector).isNotNull()).select(id_col)
+    return running_total(ids, [id_col], F.lit(1), "pos")
+
+
 def vector_index(
     chunks: DataFrame, id_col: str = "chunk_id", vector: str = "embedding"
 ) -> DataFrame:
-    """Rows with a vector, numbered densely from 0 in id order (`pos`)."""
+    """Rows with a vector and their position `pos`; ids should be unique."""
     rows = chunks.filter(F.col(vector).isNotNull())
-    return running_total(rows, [id_col], F.lit(1), "pos")
+    return rows.join(vector_positions(chunks, id_col, vector), id_col)
 
 
 def ordered_page(df: DataFrame, key: str, page: int, page_size: int) -> DataFrame:

@@ -8,16 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.operators.scale import settle, top_per_group
+from quaestor.operators.scale import top_per_group
+from quaestor.functions.vectors import l2_normalize
 from quaestor.session import cut_lineage
 
-# One task holds at most this many questions as a matrix; a larger batch goes
-# through the sharded join below.
-MAX_BROADCAST_QUERIES = 1024
+# Questions that meet a task's rows as one matrix.
+QUESTION_BLOCK = 1024
+# Into how many groups the tasks' results are merged before the last merge.
+MERGE_GROUPS = 64
 # Rows of one shard of a cell in the sharded join.
 SHARD_QUERIES = 1024
 SHARD_ROWS = 16_384
@@ -26,12 +28,29 @@ MAX_PAIR_ELEMENTS = 1 << 24
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length, see `valid_vectors`, as the rows of a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = set(column.value_lengths().to_pylist())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
+def valid_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Rows whose vector has `dim` values, none of them null."""
+    whole = ~F.exists(vector, lambda x: x.isNull())
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) == dim) & whole)
+
+
+def dimension(df: DataFrame, vector: str) -> int:
+    """The most frequent vector length, the shorter on a tie; 0 without vectors."""
+    sizes = df.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("dim")).count()
+    row = sizes.agg(F.max_by("dim", F.struct("count", -F.col("dim"))).alias("dim")).first()
+    return row["dim"] or 0
+
+
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     values = column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(False)
     return values.astype(str) if values.dtype == object else values
@@ -117,45 +136,55 @@ def knn(
     id_col: str = "chunk_id",
     vector: str = "embedding",
     metric: str = "l2",
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    dim: int | None = None,
+    block: int = QUESTION_BLOCK,
 ) -> DataFrame:
     """Exact `k` nearest corpus rows of every question, ties to the smaller id.
 
     Returns (query_id, id, distance, similarity, rank) with the squared L2
-    distance and the cosine similarity. A batch of at most `max_broadcast`
-    questions rides to every task as one matrix: the corpus is scanned once
-    where it lies and a task gives up only its own best `k` per question. A
-    larger batch goes through `grid_knn`.
+    distance and the cosine similarity. Vectors of other than `dim` values (by
+    default the questions' most frequent length) or with null values take no
+    part; `split_valid_vectors` names them.
+
+    The questions are a stated set. They ride to the tasks in blocks of bounded
+    size, and each block scans the corpus where it lies: the corpus never
+    moves, and a task gives up only its best `k` per question.
     """
-    wanted = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
-    rows = corpus.select(id_col, vector).filter(F.col(vector).isNotNull())
-    batch = wanted.limit(max_broadcast + 1).toArrow()
-    if batch.num_rows > max_broadcast:
-        near = grid_knn(
-            _one_cell(wanted, query_id), _one_cell(rows, id_col), k, query_id, id_col, vector, metric
-        )
-    else:
-        near = _scan_knn(batch, rows, _result_schema(wanted, rows, query_id, id_col), k, metric)
+    dim = dimension(queries, vector) if dim is None else dim
+    wanted = valid_vectors(queries.select(query_id, vector), vector, dim)
+    rows = valid_vectors(corpus.select(id_col, vector), vector, dim)
+    schema = _result_schema(wanted, rows, query_id, id_col)
+    near = rows.sparkSession.createDataFrame([], schema)
+    for batch in _blocks(wanted, block):
+        near = near.union(_scan_knn(batch, rows, schema, k, metric))
     return rank_neighbours(near, k, query_id, id_col, metric)
 
 
-def _one_cell(df: DataFrame, id_col: str) -> DataFrame:
-    # Always 0, but no literal: a join on a literal would turn into a cross join.
-    return df.withColumn("cell", F.pmod(F.xxhash64(id_col), F.lit(1)).cast("int"))
+def _blocks(wanted: DataFrame, size: int) -> Iterator[pa.Table]:
+    """The questions in Arrow tables of at most `size` rows, one at a time."""
+    whole = wanted.toArrow()
+    for at in range(0, whole.num_rows, size):
+        yield whole.slice(at, size)
 
 
 def rank_neighbours(
     near: DataFrame, k: int, query_id: str, id_col: str, metric: str
 ) -> DataFrame:
+    """The best `k` of each question, merged in two steps.
+
+    First per group of tasks, so that however many tasks scanned the corpus no
+    task of the last step sees more than `k * MERGE_GROUPS` rows of a question.
+    """
     score = F.col("distance").asc() if metric == "l2" else F.col("similarity").desc()
-    return top_per_group(near, [query_id], [score, F.col(id_col)], k)
+    order = [score, F.col(id_col)]
+    grouped = near.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+    first = top_per_group(grouped, [query_id, "_group"], order, k, "_rank").drop("_group", "_rank")
+    return top_per_group(first, [query_id], order, k)
 
 
 def _scan_knn(
     batch: pa.Table, rows: DataFrame, schema: T.StructType, k: int, metric: str
 ) -> DataFrame:
-    if batch.num_rows == 0:
-        return rows.sparkSession.createDataFrame([], schema)
     shared = rows.sparkSession.sparkContext.broadcast((batch.column(0), _matrix(batch.column(1))))
     out = _arrow_schema(schema)
 
@@ -201,7 +230,7 @@ def grid_knn(
     row_shards = F.ceil(F.count("*") / shard_rows).alias("row_shards")
     query_shards = F.ceil(F.count("*") / shard_queries).alias("query_shards")
     # One row per cell, counted once for both sides.
-    sizes = settle(
+    sizes = cut_lineage(
         corpus.groupBy("cell").agg(row_shards).join(
             queries.groupBy("cell").agg(query_shards), "cell"
         )
@@ -237,22 +266,45 @@ def grid_knn(
     return left.groupBy(*shard).cogroup(right.groupBy(*shard)).applyInArrow(meet, schema)
 
 
+def _unit(vector: str, metric: str) -> Column:
+    """What cells are nearest by: the vector itself, or of length one for cosine."""
+    plain = F.col(vector).cast("array<double>")
+    return F.coalesce(l2_normalize(F.col(vector)), plain) if metric == "cosine" else plain
+
+
 def train_cells(
-    corpus: DataFrame, lists: int = 100, vector: str = "embedding", seed: int = 42
+    corpus: DataFrame,
+    lists: int = 100,
+    vector: str = "embedding",
+    seed: int = 42,
+    metric: str = "l2",
+    dim: int | None = None,
 ) -> np.ndarray:
     """Centroids of an inverted-file index: a matrix of `lists` rows."""
-    points = corpus.filter(F.col(vector).isNotNull()).select(
-        array_to_vector(F.col(vector).cast("array<double>")).alias("features")
+    dim = dimension(corpus, vector) if dim is None else dim
+    points = valid_vectors(corpus, vector, dim).select(
+        array_to_vector(_unit(vector, metric)).alias("features")
     )
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(points)
     return np.array(model.clusterCenters())
 
 
 def nearest_cells(
-    df: DataFrame, centroids: np.ndarray, probes: int, vector: str = "embedding"
+    df: DataFrame,
+    centroids: np.ndarray,
+    probes: int,
+    vector: str = "embedding",
+    metric: str = "l2",
 ) -> DataFrame:
-    """Add `cell`: one row per input row and each of its `probes` nearest cells."""
-    shared = df.sparkSession.sparkContext.broadcast(centroids.astype(np.float64))
+    """Add `cell`: one row per input row and each of its `probes` nearest cells.
+
+    Rows whose vector has another length than the centroids are left out. For
+    cosine, rows and centroids are compared at length one. Ties go to the first.
+    """
+    centroids = centroids.astype(np.float64)
+    if metric == "cosine":
+        centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +312,8 @@ def nearest_cells(
         count = min(probes, len(cells))
         for chunk in batches:
             rows = _matrix(chunk.column(chunk.schema.get_field_index(vector)))
+            if metric == "cosine":
+                rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
             rough = (cells**2).sum(axis=1)[None, :] - 2.0 * (rows @ cells.T)
             near = np.argsort(rough, axis=1, kind="stable")[:, :count]
             repeated = chunk.take(pa.array(np.repeat(np.arange(len(rows)), count)))
@@ -268,7 +322,7 @@ def nearest_cells(
                 [*repeated.columns, cell], names=[*chunk.schema.names, "cell"]
             )
 
-    return df.filter(F.col(vector).isNotNull()).mapInArrow(assign, schema)
+    return valid_vectors(df, vector, centroids.shape[1]).mapInArrow(assign, schema)
 
 
 def ivf_knn(
@@ -289,7 +343,7 @@ def ivf_knn(
     the number of cells the result is exact.
     """
     asked = cut_lineage(
-        nearest_cells(queries.select(query_id, vector), centroids, probes, vector)
+        nearest_cells(queries.select(query_id, vector), centroids, probes, vector, metric)
     )
     # At most one number per centroid; as a literal filter it prunes folders.
     probed = [row["cell"] for row in asked.select("cell").distinct().collect()]
@@ -298,9 +352,16 @@ def ivf_knn(
     return rank_neighbours(near, k, query_id, id_col, metric)
 
 
-def write_ivf(corpus: DataFrame, centroids: np.ndarray, path: str, vector: str = "embedding"):
+def write_ivf(
+    corpus: DataFrame,
+    centroids: np.ndarray,
+    path: str,
+    vector: str = "embedding",
+    metric: str = "l2",
+):
     """Write the corpus as one folder per cell."""
-    nearest_cells(corpus, centroids, 1, vector).write.mode("overwrite").partitionBy("cell").parquet(path)
+    cells = nearest_cells(corpus, centroids, 1, vector, metric)
+    cells.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def recall_at_k(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.text import content_key
 from quaestor.operators.cache_replay import TTL_SECONDS
+from quaestor.session import cut_lineage
 
 
 def memoize(
@@ -25,18 +26,20 @@ def memoize(
     `memo` holds (key, value, expires_at) and is live while expires_at is after
     `now`. Copies of one text collapse on the map side before the model sees
     them; the join back has one row per key on the right, so a text with a large
-    part of the rows is split by the adaptive skew join. Write the new entries
-    before reading both results, or the model runs twice.
+    part of the rows is split by the adaptive skew join. The new entries are
+    written once, so the model runs once for both results.
     """
     keyed = rows.withColumn("key", content_key(prefix, F.col(text)))
     live = memo.filter(F.col("expires_at") > now).groupBy("key").agg(
         F.max_by("value", "expires_at").alias("value")
     )
     distinct = keyed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.any_value(text).alias("_text"))
-    fresh = distinct.join(live, "key", "left_anti").select(
-        "key",
-        compute(F.col("_text")).alias("value"),
-        (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),
+    fresh = cut_lineage(
+        distinct.join(live, "key", "left_anti").select(
+            "key",
+            compute(F.col("_text")).alias("value"),
+            (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),
+        )
     )
     known = live.select("key", "value", F.lit(True).alias("memo_hit")).unionByName(
         fresh.select("key", "value", F.lit(False).alias("memo_hit"))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from quaestor.operators.scale import join_with_nulls, running_total
 
-# A percentile buffer keeps every distinct value; above this many per group the
-# values are range-sorted instead.
-MAX_DISTINCT = 1_000_000
-
 
 def profile_nulls(df: DataFrame) -> DataFrame:
     """(column, nulls, total, percent) of every column, in one pass."""
@@ -33,33 +29,14 @@ def exact_percentiles(
     shares: Sequence[float],
     names: Sequence[str],
     group: Sequence[str] = (),
-    max_distinct: int = MAX_DISTINCT,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per share.
 
-    The built-in aggregate serves while a group has a bounded number of
-    distinct values; otherwise the distinct values are sorted over the cluster
-    with their running counts and only the two neighbours of each percentile
-    are picked.
+    The distinct values are sorted over the cluster with their running counts
+    and only the two neighbours of each percentile are picked, so neither many
+    values nor a group with most of them meets in one task.
     """
     present = df.filter(F.col(value).isNotNull())
-    distinct = present.groupBy(*group).agg(F.approx_count_distinct(value).alias("n"))
-    largest = distinct.agg(F.max("n")).first()[0] or 0
-    if largest <= max_distinct:
-        found = present.groupBy(*group).agg(
-            F.percentile(value, F.array(*[F.lit(s) for s in shares])).alias("_p")
-        )
-        return found.select(*group, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    return _sorted_percentiles(present, value, shares, names, group)
-
-
-def _sorted_percentiles(
-    present: DataFrame,
-    value: str,
-    shares: Sequence[float],
-    names: Sequence[str],
-    group: Sequence[str],
-) -> DataFrame:
     counts = present.groupBy(*group, value).agg(F.count("*").alias("_n"))
     placed = running_total(counts, [value], F.col("_n"), "_before", group)
     totals = present.groupBy(*group).agg(F.count("*").alias("_total"))
@@ -88,16 +65,21 @@ def _sorted_percentiles(
 
 def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column, a row per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    basic = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    # One row with a struct per column: a scan that multiplies nothing.
+    figures = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(c).alias("count"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"),
+            F.max(c).alias("max"),
+        )
+        for c in columns
+    ]
+    basic = numbers.agg(F.array(*figures).alias("_all")).select(F.inline("_all"))
+    long = numbers.unpivot([], list(columns), "column", "value")
     quartiles = exact_percentiles(
         long, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ["column"]
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import query_term_hits, terms_in
-from quaestor.operators.scale import first_per_key, settle, top_per_group
+from quaestor.operators.scale import first_per_key, top_per_group
+from quaestor.session import cut_lineage
 
 # Fixed format: the JSON the re-ranking model is asked for.
 RANKED_SCHEMA = (
@@ -28,7 +29,7 @@ def fetch_by_ids(
 
     Ids the store does not hold are dropped.
     """
-    first = settle(wanted.groupBy(key).agg(F.min(order).alias(order)))
+    first = cut_lineage(wanted.groupBy(key).agg(F.min(order).alias(order)))
     return store.join(first, key)
 
 
@@ -38,7 +39,7 @@ def with_chunks(near: DataFrame, store: DataFrame, key: str = "chunk_id") -> Dat
     Results are at most k rows per question. They are written first, so the
     search runs once and the big table stays where it is if they are few.
     """
-    return settle(near).join(store, key)
+    return cut_lineage(near).join(store, key)
 
 
 def map_positions(found: DataFrame, index: DataFrame, pos: str = "pos") -> DataFrame:
@@ -174,9 +175,12 @@ def parse_ranked(
 ) -> DataFrame:
     """Rows of the re-ranker's JSON, in its order; malformed output gives none.
 
-    A surrounding Markdown fence is stripped.
+    Models put the JSON into a Markdown fence, with text around it or without:
+    the first fenced block counts, else the text from the first brace to the last.
     """
-    body = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*?)\s*```", 1)
+    bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    body = F.when(fenced != "", fenced).otherwise(bare)
     ranked = F.from_json(body, RANKED_SCHEMA)["ranked_documents"]
     return outputs.select(query_id, F.posexplode(ranked).alias("output_pos", "_item")).select(
         query_id,

@@ -12,9 +12,6 @@ from quaestor.session import cut_lineage
 # monotonically_increasing_id() keeps the row number in the low 33 bits.
 _ROW_BITS = 33
 
-# Rows of a narrow table (keys and a few numbers) that may be broadcast.
-MAX_BROADCAST_ROWS = 500_000
-
 
 def top_per_group(
     df: DataFrame,
@@ -48,15 +45,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     )
 
 
-def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Write a table meant to be small and mark it for broadcast if it is.
-
-    Above `max_rows` it stays an ordinary side of a join.
-    """
-    written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
-
-
 def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which a null key meets a null key."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -130,27 +118,34 @@ def lag_in_slices(
     df: DataFrame,
     series: Sequence[str],
     order: Sequence[str],
-    slice_col: Column,
     value: str,
     name: str,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Previous `value` of each series without putting a series in one task.
 
-    Rows are windowed per (series, slice); the first row of a slice takes the
-    last value of the slice before it from a table of one row per slice.
+    The rows are range-sorted by series and `order` (which should be total), so
+    a busy series lies in many slices. Inside a slice a window looks back; the
+    first row of a series in a slice takes the last value of the slice before,
+    from a table whose size depends on the slices and not on the rows.
     """
-    keys = [*series, "_slice"]
-    sliced = df.withColumn("_slice", slice_col)
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    last = sliced.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    keys = [*series, *order]
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    sliced = cut_lineage(
+        ranged.sortWithinPartitions(*keys)
+        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_seq", _ROW_BITS))
+    )
+    inside = Window.partitionBy("_part", *series).orderBy("_seq")
+    last = sliced.groupBy("_part", *series).agg(F.max_by(value, "_seq").alias("_last"))
     carried = last.select(
-        *keys, F.lag("_last").over(Window.partitionBy(*series).orderBy("_slice")).alias("_carry")
+        "_part", *series, F.lag("_last").over(Window.partitionBy(*series).orderBy("_part")).alias("_carry")
     )
     lagged = sliced.withColumn("_lag", F.lag(value).over(inside)).withColumn(
         "_first", F.row_number().over(inside) == 1
     )
     return (
-        join_with_nulls(lagged, carried, keys)
+        join_with_nulls(lagged, carried, ["_part", *series])
         .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_slice", "_lag", "_first", "_carry")
+        .drop("_seq", "_part", "_lag", "_first", "_carry")
     )

@@ -177,7 +177,6 @@ def counter_increase(
     samples: DataFrame,
     series: Sequence[str],
     order: Sequence[str],
-    slice_col: Column,
     span: str = "5 minutes",
     step: str = "30 seconds",
 ) -> DataFrame:
@@ -186,7 +185,7 @@ def counter_increase(
     A value below the one before is a restart and counts whole; the first
     sample of a series adds nothing. No extrapolation to the window's edges.
     """
-    steps = lag_in_slices(samples, series, order, slice_col, "value", "_before")
+    steps = lag_in_slices(samples, series, order, "value", "_before")
     delta = F.when(F.col("value") < F.col("_before"), F.col("value")).otherwise(
         F.col("value") - F.col("_before")
     )
@@ -222,17 +221,18 @@ def service_figures(requests: DataFrame, stages: Mapping[str, str] | None = None
     )
     figures = ["error_rate_pct", "cache_hit_pct", "qps", "cost_per_query_usd"]
     result = totals.unpivot([], figures, "metric", "value")
-    latencies = exact_percentiles(requests, "latency_s", [0.95, 0.99], ["p95_latency_s", "p99_latency_s"])
-    result = result.unionByName(
-        latencies.unpivot([], ["p95_latency_s", "p99_latency_s"], "metric", "value")
+    # All percentiles from one sort: a row counts for all requests and its stages.
+    covers = [F.when(F.expr(c), F.lit(n)) for n, c in (stages or {}).items()]
+    named = F.array_compact(F.array(F.lit("latency_s"), *covers))
+    rows = requests.select(F.explode(named).alias("of"), "latency_s")
+    found = exact_percentiles(rows, "latency_s", [0.95, 0.99], ["p95", "p99"], ["of"])
+    every = F.col("of") == "latency_s"
+    values = F.array(
+        F.struct(F.when(every, "p95_latency_s").otherwise(F.col("of")).alias("metric"), F.col("p95").alias("value")),
+        F.struct(F.when(every, "p99_latency_s").alias("metric"), F.col("p99").alias("value")),
     )
-    if stages:
-        named = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in stages.items()]))
-        rows = requests.select(F.explode(named).alias("metric"), "latency_s")
-        result = result.unionByName(
-            exact_percentiles(rows, "latency_s", [0.95], ["value"], ["metric"])
-        )
-    return result
+    percentiles = found.select(F.inline(values)).filter(F.col("metric").isNotNull())
+    return result.unionByName(percentiles)
 
 
 def slo_status(figures: DataFrame, panels: Mapping[str, tuple] = PANELS) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import vectors as vx
 from quaestor.operators import evaluate as ev
-from quaestor.operators.scale import first_per_key
+from quaestor.functions.text import words
 from quaestor.plans import common as cm
-from quaestor.plans.registry import query
+from quaestor.plans.registry import query, table
 from quaestor.plans.retrieval import HYBRID_MERGE_SQL, merged_evidence
 from quaestor.plans.text import PAIRS_SQL, WORDS_SQL, embed, hashed, turn_pairs
+from quaestor.session import cut_lineage
 
 # Words of the test texts in place of the legal defaults.
 TERMS = ("therble", "estion", "inin", "que", "hein", "tion", "der")
@@ -90,11 +91,11 @@ def eval_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.withColumns({c: F.round(c, 6) for c in rates})
 
 
-# Key points of an answer are the first five longer words of the turn before.
+# Key points of an answer are the longer words of the turn before.
 QUALITY_SQL = (
     PAIRS_SQL
     + f""",
-points AS (SELECT *, list_filter({WORDS_SQL.format('question')}, lambda w: length(w) >= 5)[1:5] AS key_points FROM turn_pairs),
+points AS (SELECT *, list_filter({WORDS_SQL.format('question')}, lambda w: length(w) >= 5) AS key_points FROM turn_pairs),
 quality AS (SELECT conv_id, turn, question, answer, key_points,
   CASE WHEN len(key_points) > 0 THEN len(list_filter(key_points, lambda w: contains(lower(answer), lower(w)))) / len(key_points) ELSE 0 END AS key_points_coverage,
   len(list_filter({_list(TERMS)}, lambda w: contains(lower(answer), w))) AS legal_terms_count,
@@ -106,9 +107,12 @@ quality AS (SELECT conv_id, turn, question, answer, key_points,
 )
 
 
+def _long_words(text: Column) -> Column:
+    return F.filter(words(text), lambda w: F.char_length(w) >= 5)
+
+
 def scored_answers(spark: SparkSession, folder: str) -> DataFrame:
-    long_words = F.filter(F.split("question", r"\s+"), lambda w: F.char_length(w) >= 5)
-    pairs = turn_pairs(spark, folder).withColumn("key_points", F.slice(long_words, 1, 5))
+    pairs = turn_pairs(spark, folder).withColumn("key_points", _long_words(F.col("question")))
     return ev.answer_quality(
         pairs, terms=TERMS, markers=MARKERS, style_words=STYLE, citation=CITED
     )
@@ -136,58 +140,75 @@ def answer_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# The answer to question n is the first answer of conversation n.
+# Every answer is a case; conversation n is about question n mod number of questions.
 CASES_SQL = (
     RETRIEVAL_SQL
     + ","
     + QUALITY_SQL
     + f""",
-first_answers AS (SELECT * FROM quality QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
-sides AS (SELECT conv_id || ':p' AS k, array_to_string(key_points, ' ') AS text FROM first_answers
-          UNION ALL SELECT conv_id || ':a', answer FROM first_answers),
+sides AS (SELECT conv_id || ':' || turn || ':p' AS k, array_to_string(key_points, ' ') AS text FROM quality
+          UNION ALL SELECT conv_id || ':' || turn || ':a', answer FROM quality),
 vectors AS ({hashed('sides', 'k')}),
 norms AS (SELECT k, sqrt(sum(value * value)) AS norm FROM vectors GROUP BY k),
-likeness AS (SELECT split_part(a.k, ':', 1)::BIGINT AS conv_id,
+likeness AS (SELECT left(a.k, length(a.k) - 2) AS pair,
   sum(a.value * p.value) / any_value(na.norm * np.norm) AS semantic_similarity
-  FROM vectors a JOIN vectors p ON p.k = split_part(a.k, ':', 1) || ':p' AND p.pos = a.pos
+  FROM vectors a JOIN vectors p ON p.k = left(a.k, length(a.k) - 2) || ':p' AND p.pos = a.pos
   JOIN norms na ON na.k = a.k JOIN norms np ON np.k = p.k WHERE a.k LIKE '%:a' GROUP BY 1),
-cases AS (SELECT t.query_id, t.question, t.domain, t.difficulty, r.precision_at_k, r.recall_at_k, r.f1_at_k, r.mrr,
+cases AS (SELECT t.query_id, f.conv_id, f.turn, t.question, t.domain, t.difficulty, r.precision_at_k, r.recall_at_k, r.f1_at_k, r.mrr,
   r.docs, f.answer, f.key_points_coverage, f.citation_count > 0 AS has_citations, f.word_count,
   coalesce(s.semantic_similarity, 0) AS semantic_similarity
-  FROM truth t JOIN retrieval r ON r.query_id = t.query_id JOIN first_answers f ON f.conv_id = t.query_id
-  LEFT JOIN likeness s ON s.conv_id = t.query_id)"""
+  FROM truth t JOIN retrieval r ON r.query_id = t.query_id
+  JOIN quality f ON f.conv_id % (SELECT count(*) FROM benchmark) = t.query_id
+  LEFT JOIN likeness s ON s.pair = f.conv_id || ':' || f.turn)"""
 )
 
 
+CASE = ("conv_id", "turn")
+
+# One cases table per session and folder: all reports aggregate from it.
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def cases(spark: SparkSession, folder: str) -> DataFrame:
-    answers = first_per_key(turn_pairs(spark, folder), ["conv_id"], ["turn"])
-    long_words = F.filter(F.split("question", r"\s+"), lambda w: F.char_length(w) >= 5)
-    answers = answers.select(
-        F.col("conv_id").alias("query_id"), "answer", F.slice(long_words, 1, 5).alias("key_points")
+    """The cases of all answers, worked out once and written."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _written:
+        _written[key] = cut_lineage(_cases(spark, folder))
+    return _written[key]
+
+
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "benchmark").count()
+    answers = turn_pairs(spark, folder).select(
+        F.pmod("conv_id", F.lit(asked)).alias("query_id"),
+        *CASE,
+        "answer",
+        _long_words(F.col("question")).alias("key_points"),
     )
     quality = ev.answer_quality(
         answers, terms=TERMS, markers=MARKERS, style_words=STYLE, citation=CITED
     )
     similarity = (
         answers.withColumn("_points", F.array_join("key_points", " "))
-        .select("query_id", embed("answer").alias("a"), embed("_points").alias("p"))
-        .select("query_id", vx.cosine(F.col("a"), F.col("p")).alias("semantic_similarity"))
+        .select(*CASE, embed("answer").alias("a"), embed("_points").alias("p"))
+        .select(*CASE, vx.cosine(F.col("a"), F.col("p")).alias("semantic_similarity"))
     )
     return ev.compile_cases(
-        truth(spark, folder), retrieval(spark, folder), quality, similarity
+        truth(spark, folder), retrieval(spark, folder), quality, similarity, CASE
     )
 
 
 @query(
     "eval_cases",
     f"""WITH {CASES_SQL}
-SELECT query_id, domain, difficulty, answer, array_to_string(docs, ' ') AS retrieved_docs, round(precision_at_k, 6) AS precision_at_k,
+SELECT query_id, conv_id, turn, domain, difficulty, answer, array_to_string(docs, ' ') AS retrieved_docs, round(precision_at_k, 6) AS precision_at_k,
   round(mrr, 6) AS mrr, round(key_points_coverage, 6) AS key_points_coverage, word_count,
   round(semantic_similarity, 4) AS semantic_similarity FROM cases""",
 )
 def eval_cases(spark: SparkSession, folder: str) -> DataFrame:
     return cases(spark, folder).select(
         "query_id",
+        *CASE,
         "domain",
         "difficulty",
         "answer",
@@ -260,25 +281,25 @@ def eval_recommend(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "eval_best_worst",
     f"""WITH {CASES_SQL},
-picked AS (SELECT *, row_number() OVER (ORDER BY key_points_coverage DESC, query_id) AS b,
-  row_number() OVER (ORDER BY key_points_coverage, query_id) AS w FROM cases)
-SELECT 'best' AS kind, query_id, domain, difficulty, round(key_points_coverage, 6) AS key_points_coverage FROM picked WHERE b = 1
-UNION ALL SELECT 'worst', query_id, domain, difficulty, round(key_points_coverage, 6) FROM picked WHERE w = 1""",
+picked AS (SELECT *, row_number() OVER (ORDER BY key_points_coverage DESC, conv_id, turn) AS b,
+  row_number() OVER (ORDER BY key_points_coverage, conv_id, turn) AS w FROM cases)
+SELECT 'best' AS kind, conv_id, turn, domain, difficulty, round(key_points_coverage, 6) AS key_points_coverage FROM picked WHERE b = 1
+UNION ALL SELECT 'worst', conv_id, turn, domain, difficulty, round(key_points_coverage, 6) FROM picked WHERE w = 1""",
 )
 def eval_best_worst(spark: SparkSession, folder: str) -> DataFrame:
-    result = ev.best_and_worst(cases(spark, folder))
+    result = ev.best_and_worst(cases(spark, folder), CASE)
     return result.withColumn("key_points_coverage", F.round("key_points_coverage", 6))
 
 
 @query(
     "eval_summary",
     f"""WITH {CASES_SQL}
-SELECT query_id, question[1:50] || '...' AS question, domain, difficulty, round(precision_at_k, 6) AS precision_at_5,
+SELECT query_id, conv_id, turn, question[1:50] || '...' AS question, domain, difficulty, round(precision_at_k, 6) AS precision_at_5,
   round(key_points_coverage, 6) AS key_points_coverage, round(semantic_similarity, 4) AS semantic_similarity,
   has_citations, word_count FROM cases""",
 )
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.summary(cases(spark, folder)).withColumns(
+    return ev.summary(cases(spark, folder), ("query_id", *CASE)).withColumns(
         {
             "precision_at_5": F.round("precision_at_5", 6),
             "key_points_coverage": F.round("key_points_coverage", 6),

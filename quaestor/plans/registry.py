@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaestor.sources.tables import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,6 +29,5 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Some columns of `documents`, spread over the cores for work on the texts."""
-    scan = table(spark, folder, "documents").select("doc_id", *columns)
-    return spread(scan, "doc_id")
+    """Some columns of `documents`."""
+    return table(spark, folder, "documents").select("doc_id", *columns)

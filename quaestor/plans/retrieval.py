@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +14,31 @@ from quaestor.functions import vectors as vx
 from quaestor.operators import knn as nn
 from quaestor.operators import retrieval as rt
 from quaestor.operators.chunking import chunk_fixed
-from quaestor.operators.ingest import vector_index
-from quaestor.operators.scale import settle
+from quaestor.operators.ingest import vector_positions
 from quaestor.operators.search import select_snippets
 from quaestor.plans import common as cm
 from quaestor.plans.registry import documents, query, table
+from quaestor.session import cut_lineage, shared_folder
 
 
 @query(
     "knn_l2",
     f"""WITH {cm.PAIRS_SQL}
-SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM near""",
+SELECT query_id, chunk_id, round(distance, 6) AS distance,
+       row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
+FROM pairs WHERE chunk_id % 11 NOT IN (3, 4, 5, 6) QUALIFY rank <= 20""",
 )
 def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
-    return cm.candidates(spark, folder).select(
+    """Exact neighbours in a corpus with short, long, broken and missing vectors."""
+    kind, vector = F.col("chunk_id") % 11, F.col("embedding")
+    flawed = (
+        F.when(kind == 3, F.slice(vector, 1, 16))
+        .when(kind == 4, F.concat(vector, vector))
+        .when(kind == 5, F.concat(F.slice(vector, 2, 100), F.array(F.lit(None).cast("float"))))
+        .when(kind != 6, vector)
+    )
+    corpus = cm.chunk_vectors(spark, folder).withColumn("embedding", flawed)
+    return nn.knn(cm.questions(spark, folder), corpus, 20).select(
         "query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank"
     )
 
@@ -71,18 +84,56 @@ def distance_score(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("ivf_knn")
-def ivf_knn(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate neighbours; the tests compare them with the exact ones."""
-    corpus = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding")
-    centroids = nn.train_cells(corpus, lists=16)
-    cells = nn.nearest_cells(corpus, centroids, 1)
-    found = nn.ivf_knn(cm.questions(spark, folder), cells, centroids, 20, probes=4)
+def ivf(spark: SparkSession, folder: str, metric: str) -> DataFrame:
+    """Neighbours among the four nearest of ten cells, read from a folder per cell.
+
+    The topics' mean vectors serve as centroids, so SQL can name the cells; the
+    tests train centroids and measure recall.
+    """
+    corpus = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding", "label")
+    # One row per topic.
+    means = cm.topic_vectors(corpus).orderBy("label").collect()
+    centroids = np.array([row["embedding"] for row in means])
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    nn.write_ivf(corpus.drop("label"), centroids, path, metric=metric)
+    cells = spark.read.parquet(path)
+    found = nn.ivf_knn(
+        cm.questions(spark, folder), cells, centroids, 20, probes=4, metric=metric
+    )
     return found.select(
-        "query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank"
+        "query_id",
+        "chunk_id",
+        F.round("distance", 6).alias("distance"),
+        F.round("similarity", 6).alias("similarity"),
+        "rank",
     )
 
 
+def ivf_sql(metric: str) -> str:
+    near = "-list_cosine_similarity(v, c.embedding)" if metric == "cosine" else "list_distance(v, c.embedding)"
+    best = "similarity DESC" if metric == "cosine" else "distance"
+    return f"""WITH {cm.PAIRS_SQL},
+placed AS (SELECT vec_id AS chunk_id, c.label AS cell, e.embedding::DOUBLE[] AS v,
+  row_number() OVER (PARTITION BY vec_id ORDER BY {near}, c.label) AS n FROM embeddings e, centroids c),
+probed AS (SELECT query_id, c.label AS cell, q.embedding AS v,
+  row_number() OVER (PARTITION BY query_id ORDER BY {near}, c.label) AS n FROM questions q, centroids c)
+SELECT p.query_id, p.chunk_id, round(p.distance, 6) AS distance, round(p.similarity, 6) AS similarity,
+       row_number() OVER (PARTITION BY p.query_id ORDER BY p.{best}, p.chunk_id) AS rank
+FROM pairs p JOIN placed a ON a.chunk_id = p.chunk_id AND a.n = 1
+JOIN probed b ON b.query_id = p.query_id AND b.cell = a.cell AND b.n <= 4
+QUALIFY rank <= 20"""
+
+
+@query("ivf_knn", ivf_sql("l2"))
+def ivf_knn(spark: SparkSession, folder: str) -> DataFrame:
+    return ivf(spark, folder, "l2")
+
+
+@query("ivf_knn_cosine", ivf_sql("cosine"))
+def ivf_knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    return ivf(spark, folder, "cosine")
+
+
 @query(
     "l2_normalize",
     """WITH v AS (
@@ -106,7 +157,7 @@ def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
 FROM embeddings WHERE embedding IS NOT NULL""",
 )
 def vec_index(spark: SparkSession, folder: str) -> DataFrame:
-    return vector_index(cm.chunk_vectors(spark, folder)).select("pos", "chunk_id")
+    return vector_positions(cm.chunk_vectors(spark, folder)).select("pos", "chunk_id")
 
 
 @query(
@@ -119,7 +170,7 @@ SELECT f.pos, f.lang, idx.chunk_id FROM found f JOIN idx ON idx.pos = f.pos""",
 )
 def pos_map_join(spark: SparkSession, folder: str) -> DataFrame:
     found = table(spark, folder, "documents").select(F.col("doc_id").alias("pos"), "lang")
-    index = vector_index(cm.chunk_vectors(spark, folder)).select("pos", "chunk_id")
+    index = vector_positions(cm.chunk_vectors(spark, folder))
     return rt.map_positions(found, index)
 
 
@@ -278,6 +329,10 @@ def model_outputs(spark: SparkSession, folder: str, scored: DataFrame) -> DataFr
         "query_id",
         F.when(topic == 3, F.lit("no json here"))
         .when(topic == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(topic == 5, F.concat(F.lit("\n\n```\n"), body, F.lit("\n```\n")))
+        .when(topic == 6, F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```\nBye.")))
+        .when(topic == 7, F.concat(F.lit("```JSON "), body, F.lit("```")))
+        .when(topic == 8, F.concat(F.lit("The answer is "), body, F.lit(".")))
         .otherwise(body)
         .alias("output"),
     )
@@ -393,7 +448,8 @@ best AS (SELECT h.query_id, h.chunk_id, d.text, e.embedding AS v, q.embedding AS
   JOIN questions q ON q.query_id = h.query_id),
 pieces AS (SELECT query_id, chunk_id, i AS snippet_no, text[i * 462 + 1 : i * 462 + 512] AS snippet,
     qv, v[i % 64 + 1 :] || v[: i % 64] AS sv
-  FROM best, range(0, greatest(1, ceil((length(text) - 512) / 462.0)::BIGINT + 1)) AS r(i)),
+  FROM best, range(0, greatest(1, ceil((length(text) - 512) / 462.0)::BIGINT + 1)) AS r(i)
+  WHERE chunk_id % 7 <> 3),
 scored AS (SELECT query_id, chunk_id, snippet_no, snippet,
     list_cosine_similarity(qv, sv::DOUBLE[]) * CASE WHEN contains(lower(replace(snippet, ' ', '')), 'inin') THEN 1.5::DOUBLE ELSE 1 END AS score
   FROM pieces),
@@ -401,12 +457,15 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY s
   FROM scored QUALIFY rank <= 3)
 SELECT query_id, chunk_id, count(*) AS snippets, round(max(score), 6) AS best_score,
        string_agg(snippet, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS snippet
-FROM kept GROUP BY query_id, chunk_id""",
+FROM kept GROUP BY query_id, chunk_id
+UNION ALL SELECT query_id, chunk_id, 0, NULL, '' FROM best WHERE chunk_id % 7 = 3""",
 )
 def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
     # Candidates first: only their texts are cut into snippets.
-    pairs = settle(hybrid(spark, folder).select("query_id", "chunk_id"))
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    pairs = cut_lineage(hybrid(spark, folder).select("query_id", "chunk_id"))
+    # Every seventh text is taken to be blank and has no snippet.
+    text = F.when(F.col("doc_id") % 7 == 3, "").otherwise(F.col("text")).alias("text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), text)
     docs = docs.join(pairs, "chunk_id", "left_semi")
     vectors = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding")
     turned = F.concat(
@@ -425,4 +484,4 @@ def snippet_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
     asked = cm.questions(spark, folder).select("query_id", "embedding")
     boost = partial(tx.keyword_boost, keyword="inin")
-    return select_snippets(pairs, snippets, asked, boost=boost)
+    return select_snippets(pairs, cut_lineage(snippets), asked, boost=boost, whole=docs)

@@ -179,8 +179,7 @@ SELECT window_start, series, round(sum(delta), 6) AS increase, count(*) AS sampl
 def counter_increase(spark: SparkSession, folder: str) -> DataFrame:
     """Event values as samples of one counter per type, every fall a restart."""
     samples = table(spark, folder, "events").withColumnRenamed("event_type", "series")
-    day = F.to_date("ts")
-    grown = sv.counter_increase(samples, ["series"], ["ts", "event_id"], day, SPAN, STEP)
+    grown = sv.counter_increase(samples, ["series"], ["ts", "event_id"], SPAN, STEP)
     return _start(grown).withColumn("increase", F.round("increase", 6))
 
 

@@ -182,13 +182,10 @@ def text_search_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, mode: str) -> DataFrame:
-    docs = documents(spark, folder, "text")
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-    index = se.text_index(docs, id_col="doc_id")
-    total = table(spark, folder, "documents").count()
-    return se.text_search(asked, index, total, mode=mode, id_col="doc_id")
+    return se.text_search(asked, documents(spark, folder, "text"), mode=mode, id_col="doc_id")
 
 
 EMBED_DIM = 16

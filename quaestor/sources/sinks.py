@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,25 @@ REPORT_DROPPED = ("key_points_found", "legal_terms_used")
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """Replace the table at `path`, which must not be one `df` reads.
+    """Replace the table at `path`, which `df` may read.
 
-    Spark commits the files in one step; an empty frame leaves an empty table
-    with its schema.
+    The new files are written beside it and take its place by a rename, so a
+    failed write leaves the old table, and readers never see half a table. An
+    empty frame leaves an empty table with its schema.
     """
-    target = path.rstrip("/")
-    for read in df.inputFiles():
-        if read.split("file:")[-1].lstrip("/").startswith(target.lstrip("/") + "/"):
-            raise ValueError(f"{path} is being read; write to a new path")
-    df.write.mode("overwrite").parquet(path)
+    spark, beside = df.sparkSession, path.rstrip("/")
+    mark = uuid.uuid4().hex
+    df.write.parquet(f"{beside}.new-{mark}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, target = at(f"{beside}.new-{mark}"), at(f"{beside}.old-{mark}"), at(beside)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"{path} cannot be replaced")
+    if not files.rename(new, target):
+        raise OSError(f"{path} cannot be replaced; its new files are in {new}")
+    if files.exists(old):
+        files.delete(old, True)
+    spark.catalog.refreshByPath(beside)
 
 
 def write_id_map(index: DataFrame, path: str) -> None:

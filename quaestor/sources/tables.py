@@ -40,19 +40,6 @@ def scan_checked(
     )
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give a small scan as many partitions as there are cores.
-
-    For work that is heavy on the processor, on a table in few files. A big
-    table has enough partitions already and is not shuffled. For plain scans
-    only: counting the partitions of anything else may run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, key)
-
-
 def sql_rows(spark: SparkSession, statement: str, args: Mapping[str, Any], **frames: DataFrame):
     """Run SQL with named parameters (`:name`) over the given frames (`{name}`)."""
     return spark.sql(statement, args=dict(args), **frames)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from quaestor.operators.knn import knn
 from quaestor.operators.retrieval import score_hybrid, with_chunks
 from quaestor.session import cut_lineage
-from quaestor.streaming.sinks import drain, put_batch
+from quaestor.streaming.sinks import drain, put_batch, run_of
 
 
 def question_stream(
@@ -30,6 +30,6 @@ def question_stream(
     def answer(batch: DataFrame, batch_id: int) -> None:
         asked = batch if embed is None else cut_lineage(batch.withColumn("embedding", embed("question")))
         near = with_chunks(knn(asked, corpus, k), corpus.select("chunk_id", "text"))
-        put_batch(score_hybrid(near, alpha), target, batch_id)
+        put_batch(score_hybrid(near, alpha), target, batch_id, run_of(batch.sparkSession, checkpoint))
 
     drain(questions.writeStream.foreachBatch(answer), checkpoint)

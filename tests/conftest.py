@@ -6,8 +6,9 @@ from quaestor.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     conf = {
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.streaming.stateStore.stateSchemaCheck": "true",

@@ -49,7 +49,7 @@ def found(df):
 @pytest.mark.parametrize("limit", [1000, 3])
 def test_exact_search_breaks_ties_by_id(spark, data, metric, limit):
     q, c = frames(spark, *data)
-    got = nn.knn(q, c, 5, metric=metric, max_broadcast=limit)
+    got = nn.knn(q, c, 5, metric=metric, block=limit)
     assert found(got) == brute(*data, 5, metric)
 
 
@@ -66,6 +66,31 @@ def test_small_shards_and_pairs_give_the_same(spark, data, monkeypatch):
     assert found(nn.rank_neighbours(near, 4, "query_id", "chunk_id", "l2")) == brute(*data, 4)
 
 
+def test_vectors_of_other_lengths_take_no_part(spark, data):
+    questions, rows = data
+    q, c = frames(spark, questions, rows)
+    odd = [("short", [0.0] * 4), ("long", [0.0] * 12), ("hole", [0.0] * 5 + [None]), ("none", [])]
+    flawed = c.union(spark.createDataFrame(odd, c.schema))
+    asked = q.union(spark.createDataFrame([(99, [1.0]), (98, [1.0, None, 1.0, 1.0, 1.0, 1.0])], q.schema))
+    assert found(nn.knn(asked, flawed, 5)) == brute(questions, rows, 5)
+    centroids = nn.train_cells(flawed, lists=4)
+    assert centroids.shape == (4, 6)
+    assert nn.nearest_cells(flawed, centroids, 1).count() == len(rows)
+
+
+def test_many_questions_never_move_the_corpus(spark, data):
+    _, rows = data
+    rng = np.random.default_rng(3)
+    questions = [(i, rng.normal(size=6).tolist()) for i in range(5000)]
+    q, c = frames(spark, questions, rows)
+    got = nn.knn(q, c, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in "".join(x for x in plan.split("\n") if "Exchange" in x and "RoundRobin" not in x)
+    some = got.filter("query_id < 40")
+    assert found(some) == brute(questions[:40], rows, 3)
+    assert got.count() == 15_000
+
+
 def test_k_beyond_the_corpus_and_empty_batch(spark, data):
     questions, rows = data
     q, c = frames(spark, questions[:2], rows[:3])
@@ -85,3 +110,8 @@ def test_ivf_with_all_cells_is_exact_and_with_few_is_close(spark, data, tmp_path
     some = nn.ivf_knn(q, cells, centroids, 5, probes=4)
     recall = nn.recall_at_k(some, exact).agg({"recall": "avg"}).first()[0]
     assert recall >= 0.8
+    for metric in ("l2", "cosine"):
+        centroids = nn.train_cells(c, lists=8, metric=metric)
+        cells = nn.nearest_cells(c, centroids, 1, metric=metric)
+        every = nn.ivf_knn(q, cells, centroids, 5, probes=8, metric=metric)
+        assert found(every) == found(nn.knn(q, c, 5, metric=metric))

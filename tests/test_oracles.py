@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from quaestor.plans import load_all
+from quaestor.plans.registry import ORACLES, QUERIES
 from tests.oracle import difference, duck, duck_rows, folder, spark_rows
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +31,4 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

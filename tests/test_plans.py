@@ -32,6 +32,30 @@ def test_top_k_is_cut_before_the_shuffle(spark, key):
     assert re.search(r"WindowGroupLimit .*Partial", text)
 
 
+def test_index_cells_prune_folders(spark):
+    for key in ("ivf_knn", "ivf_knn_cosine"):
+        assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN", plan(spark, key))
+
+
+def test_text_search_moves_no_postings(spark):
+    for key in ("text_search", "text_search_all"):
+        exchanges = [x for x in plan(spark, key).split("\n") if "Exchange" in x]
+        assert len(exchanges) == 1 and "query_id" in exchanges[0]
+
+
+def test_progress_and_positions_stay_spread(spark):
+    text = plan(spark, "ingest_progress")
+    assert "SinglePartition" not in text and "Window" not in text
+    assert "embedding" not in plan(spark, "vec_index")
+
+
+def test_every_answer_is_a_case(spark):
+    turns = spark.read.parquet(f"{folder()}/conversations.parquet")
+    answers = turns.filter("role = 'assistant'").count()
+    for key in ("eval_cases", "eval_summary"):
+        assert QUERIES[key](spark, folder()).count() == answers
+
+
 def test_scans_are_pruned_and_filters_pushed(spark):
     text = plan(spark, "sql_param")
     assert "ReadSchema: struct<lang:string,n_chars:bigint>" in text
@@ -54,7 +78,7 @@ def test_at_most_one_shuffle(spark, key):
 
 
 def test_large_question_batches_meet_without_a_cross_join(spark):
-    near = knn(questions(spark, folder()), chunk_vectors(spark, folder()), 5, max_broadcast=3)
+    near = knn(questions(spark, folder()), chunk_vectors(spark, folder()), 5, block=3)
     text = near._jdf.queryExecution().executedPlan().toString()
-    assert "CoGroups" in text
+    assert "CoGroups" not in text
     assert "CartesianProduct" not in text and "NestedLoop" not in text

@@ -91,6 +91,9 @@ MINI_RANKED = {
     4: '{"ranked_documents": []}',
     5: None,
     6: '{"other": 1}',
+    7: '\n\n```json\n{"ranked_documents": [{"doc_id": "b", "relevance_score": 2}]}\n```\n',
+    8: 'Here:\n```JSON {"ranked_documents": [{"doc_id": "b", "relevance_score": 2}]} ``` Done.',
+    9: 'The answer is {"ranked_documents": [{"doc_id": "b", "relevance_score": 2}]}, as asked.',
 }
 
 
@@ -100,7 +103,7 @@ def test_rerank_parse_and_merge(spark):
         [(q, c, n + 1) for q in MINI_RANKED for n, c in enumerate("abcd")], "query_id int, chunk_id string, rank int"
     )
     parsed = rt.parse_ranked(outputs)
-    assert {r.query_id for r in parsed.collect()} == {1, 2}
+    assert {r.query_id for r in parsed.collect()} == {1, 2, 7, 8, 9}
     merged = rt.rerank_merge(candidates, parsed, 3)
     order = {}
     for q, c, s, source in ranked(merged, "query_id", "chunk_id", "reranker_score", "source"):
@@ -148,10 +151,13 @@ def test_text_search(spark):
     postings = {(r.token, r.chunk_id): r.tf for r in index.collect()}
     assert postings[("cats", "d1")] == 2 and ("and", "d1") not in postings and len(postings) == 6
     asked = spark.createDataFrame([(1, "cats birds"), (2, "the"), (3, "dogs dogs")], "query_id int, question string")
-    every = se.text_search(asked, index, 5)
+    every = se.text_search(asked, docs)
     assert ranked(every, "query_id", "chunk_id", "matched") == [(1, "d5", 2), (1, "d1", 1), (3, "d1", 1), (3, "d2", 1), (3, "d5", 1)]
-    both = se.text_search(asked, index, 5, mode="and")
+    both = se.text_search(asked, docs, mode="and")
     assert ranked(both.filter("query_id = 1"), "chunk_id") == [("d5",)]
+    blocks = se.text_search(asked, docs.repartition(4), block=1)
+    assert ranked(blocks, "query_id", "chunk_id", "score") == ranked(every, "query_id", "chunk_id", "score")
+    assert se.text_search(asked, docs.limit(0)).count() == se.text_search(asked.limit(0), docs).count() == 0
 
 
 def test_snippets(spark):
@@ -165,6 +171,13 @@ def test_snippets(spark):
     row = se.select_snippets(pairs, snippets, questions).first()
     assert row.snippet == "Indok olás\n\n---\n\nzero\n\n---\n\nsame as zero"
     assert row.snippets == 3 and row.best_score == round(1.5 * 0.5**0.5, 6)
+    # A chunk without snippets stays, with its whole text if there is one.
+    both = spark.createDataFrame([(1, "c"), (1, "bare"), (1, "lost")], "query_id int, chunk_id string")
+    texts = spark.createDataFrame([("bare", " "), ("c", "all")], "chunk_id string, text string")
+    got = {r.chunk_id: r for r in se.select_snippets(both, snippets, questions, whole=texts).collect()}
+    assert len(got) == 3 and got["c"].snippet == row.snippet
+    assert (got["bare"].snippet, got["bare"].snippets, got["bare"].best_score) == (" ", 0, None)
+    assert got["lost"].snippet is None
 
 
 MINI_GT = [
@@ -251,6 +264,8 @@ def test_reports(cases):
     assert best == {"best": 3, "worst": 1}
     summary = {r.query_id: r.question for r in ev.summary(cases).collect()}
     assert summary[1] == "Q" * 50 + "..." and summary[2] == "short..."
+    text_ids = cases.withColumn("query_id", cases.query_id.cast("string"))
+    assert {r.kind: r.query_id for r in ev.best_and_worst(text_ids).collect()} == {"best": "3", "worst": "1"}
     assert ev.grade(cases.filter("query_id < 0")).first().overall_score is None
 
 

@@ -63,8 +63,7 @@ def test_windows(requests):
 def test_counter_resets_gaps_and_single_samples(spark):
     samples = [("r", 0, 5.0), ("r", 10, 8.0), ("r", 20, 2.0), ("r", 30, 2.0), ("r", 200, 10.0), ("one", 0, 7.0)]
     df = spark.createDataFrame([(s, START + dt.timedelta(seconds=t), v) for s, t, v in samples], "series string, ts timestamp, value double")
-    minute = F.date_trunc("minute", "ts")
-    grown = sv.counter_increase(df, ["series"], ["ts"], minute, "1 minute", "1 minute")
+    grown = sv.counter_increase(df, ["series"], ["ts"], "1 minute", "1 minute")
     got = {(r.series, (r.window_start - START).seconds): r.increase for r in grown.collect()}
     assert got == {("r", 0): 5.0, ("r", 180): 8.0, ("one", 0): 0.0}
 

@@ -39,8 +39,7 @@ def test_counter_of_a_busy_series(spark):
     log = hot(spark, "series").select(
         "series", "id", F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 1000).cast("double").alias("value")
     )
-    hour = F.date_trunc("hour", "ts")
-    grown = sv.counter_increase(log, ["series"], ["ts", "id"], hour, "1 hour", "1 hour")
+    grown = sv.counter_increase(log, ["series"], ["ts", "id"], "1 hour", "1 hour")
     total = grown.filter("series = 'hot'").agg(F.sum("increase")).first()[0]
     values = [i % 1000 for i in range(0, ROWS, 3)]
     assert total == sum(v if v < p else v - p for p, v in zip(values, values[1:]))

@@ -54,6 +54,11 @@ def test_ingest_stream_matches_batch_and_restarts(spark, tmp_path):
     late.unionByName(fresh).coalesce(1).write.mode("append").parquet(source)
     ingest_stream(file_stream(spark, source, docs.schema, 1), target, checkpoint)
     assert spark.read.parquet(target).count() == want.count() + 1
+    # A stream with a checkpoint of its own adds to the table.
+    more = str(tmp_path / "more")
+    spark.createDataFrame([("newer", 8, "s"), ("new", 9, "s")], docs.schema).write.parquet(more)
+    ingest_stream(file_stream(spark, more, docs.schema, 1), target, str(tmp_path / "check2"))
+    assert spark.read.parquet(target).count() == want.count() + 2
 
 
 def test_stream_rates_match_batch_on_closed_windows(spark, tmp_path):
