@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaestor.functions.text import bind, words
+from quaestor.functions.vectors import l2_normalize
+
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -47,6 +50,18 @@ def text_model_udf(provider: Callable[[], Callable[[str], str]]) -> Callable[[st
     return answer
 
 
+def hashed_words(text: Column, dim: int) -> Column:
+    """`HashEmbedder` as a Spark expression: no Python in the plan."""
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+
+    def counted(places: Column) -> Column:
+        return F.transform(every, lambda p: F.size(F.filter(places, lambda x: x == p)).cast("double"))
+
+    counts = bind(F.transform(words(F.lower(text)), place), counted)
+    return bind(counts, lambda c: F.coalesce(l2_normalize(c), c)).cast("array<float>")
+
+
 class HashEmbedder:
     """Unit vector of word counts hashed into `dim` places; for tests and demos."""
 

@@ -55,23 +55,24 @@ def format_vector(vector: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def vector_to_hex(vectors: pd.Series) -> pd.Series:
-    """Hex of the vector's little-endian float32 bytes."""
-    return vectors.map(
-        lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes().hex()
-    )
-
-
-def _floats_from_hex(text: str | None) -> list[float] | None:
-    try:
-        raw = bytes.fromhex(text or "")
-    except ValueError:
-        return None
-    if not raw or len(raw) % 4:
-        return None
-    return np.frombuffer(raw, dtype="<f4").tolist()
+    """Hex of the vector's little-endian float32 bytes; a batch is one buffer."""
+    given = vectors[vectors.notna()]
+    digits = np.concatenate([np.zeros(0, "<f4"), *given]).astype("<f4").tobytes().hex()
+    ends = np.cumsum([8 * len(v) for v in given]).tolist()
+    cut = [digits[a:b] for a, b in zip([0, *ends], ends)]
+    return _with_nulls(given.index, cut, vectors.index)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def hex_to_vector(texts: pd.Series) -> pd.Series:
     """Inverse of `vector_to_hex`; blank, missing or malformed text gives null."""
-    return texts.map(_floats_from_hex)
+    given = texts[texts.astype("string").str.fullmatch(r"(?:[0-9a-fA-F]{8})+").fillna(False).astype(bool)]
+    values = np.frombuffer(bytes.fromhex("".join(given)), dtype="<f4")
+    ends = np.cumsum([len(t) // 8 for t in given], dtype=int)
+    cut = [values[a:b].tolist() for a, b in zip([0, *ends], ends)]
+    return _with_nulls(given.index, cut, texts.index)
+
+
+def _with_nulls(given: pd.Index, values: list, every: pd.Index) -> pd.Series:
+    found = dict(zip(given, values))
+    return pd.Series([found.get(i) for i in every], index=every, dtype=object)

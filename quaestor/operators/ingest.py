@@ -81,7 +81,11 @@ def ingest_totals(offered: DataFrame, inserted: DataFrame, batch: str = "batch")
     )
     return (
         both.rollup(batch)
-        .agg(F.sum("offered").alias("offered"), F.sum("inserted").alias("inserted"))
+        .agg(
+            (F.grouping_id() == 1).alias("overall"),
+            F.sum("offered").alias("offered"),
+            F.sum("inserted").alias("inserted"),
+        )
         .withColumn("skipped", F.col("offered") - F.col("inserted"))
     )
 
@@ -120,16 +124,14 @@ def batch_done(
     share = hits.groupBy(batch).agg(
         F.count("*").alias("sampled"), F.count("_hit").alias("found")
     )
-    return (
-        rows.select(batch)
-        .distinct()
-        .join(share, batch, "left")
-        .select(
-            batch,
-            F.coalesce("sampled", F.lit(0)).alias("sampled"),
-            F.coalesce("found", F.lit(0)).alias("found"),
-            F.coalesce(F.col("found") / F.col("sampled") >= threshold, F.lit(False)).alias("done"),
-        )
+    # A null batch is one like any other.
+    every = rows.select(batch).distinct()
+    named = share.withColumnRenamed(batch, "_batch")
+    return every.join(named, F.col(batch).eqNullSafe(F.col("_batch")), "left").select(
+        batch,
+        F.coalesce("sampled", F.lit(0)).alias("sampled"),
+        F.coalesce("found", F.lit(0)).alias("found"),
+        F.coalesce(F.col("found") / F.col("sampled") >= threshold, F.lit(False)).alias("done"),
     )
 
 

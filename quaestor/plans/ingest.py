@@ -156,7 +156,7 @@ def upsert_ignore(spark: SparkSession, folder: str) -> DataFrame:
 INGEST_TOTALS_SQL = (
     UPSERT_SQL
     + """,
-totals AS (SELECT batch, sum(o)::BIGINT AS offered, sum(i)::BIGINT AS inserted, sum(o - i)::BIGINT AS skipped
+totals AS (SELECT batch, grouping(batch) = 1 AS overall, sum(o)::BIGINT AS offered, sum(i)::BIGINT AS inserted, sum(o - i)::BIGINT AS skipped
   FROM (SELECT batch, 1 AS o, 0 AS i FROM incoming UNION ALL SELECT batch, 0, 1 FROM inserted)
   GROUP BY ROLLUP (batch))"""
 )
@@ -171,7 +171,7 @@ def ingest_totals(spark: SparkSession, folder: str) -> DataFrame:
     "ingest_stats",
     f"""WITH {INGEST_TOTALS_SQL}
 SELECT 'chunks' AS table_name, (SELECT count(*) FROM (SELECT DISTINCT chunk_id FROM stored)) + inserted AS live_rows,
-       inserted, skipped FROM totals WHERE batch IS NULL""",
+       inserted, skipped FROM totals WHERE overall""",
 )
 def ingest_stats(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as tx
 from quaestor.functions import vectors as vx
-from quaestor.functions.embedding import HashEmbedder, embed_udf
+from quaestor.functions.embedding import hashed_words
 from quaestor.operators import chunking as ck
 from quaestor.operators import search as se
 from quaestor.operators.memo import memoize
@@ -99,9 +99,9 @@ def content_key(spark: SparkSession, folder: str) -> DataFrame:
 # Vectors of topic 3 arrive malformed and those of topic 4 blank.
 @query(
     "vector_parse",
-    """SELECT vec_id, CASE WHEN label NOT IN (3, 4) THEN len(embedding) END AS dim,
-  CASE WHEN label NOT IN (3, 4) THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) END AS total
-FROM embeddings""",
+    """SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE, 5) + 0.0::DOUBLE AS value
+FROM embeddings, range(1, len(embedding) + 1) AS r(i) WHERE label NOT IN (3, 4)
+UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE label IN (3, 4)""",
 )
 def vector_parse(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
@@ -111,9 +111,10 @@ def vector_parse(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(vx.format_vector(F.col("embedding")))
     )
     parsed = vectors.select("vec_id", vx.parse_vector(text).alias("v"))
-    total = F.aggregate(vx.as_doubles(F.col("v")), F.lit(0.0), lambda acc, x: acc + x)
-    return parsed.select(
-        "vec_id", F.size("v").cast("long").alias("dim"), F.round(total, 4).alias("total")
+    return parsed.select("vec_id", F.posexplode_outer("v").alias("pos", "x")).select(
+        "vec_id",
+        F.col("pos").cast("long").alias("pos"),
+        (F.round(F.col("x").cast("double"), 5) + 0.0).alias("value"),
     )
 
 
@@ -198,8 +199,8 @@ def hashed(texts: str, key: str) -> str:
   FROM (SELECT {key}, unnest({WORDS_SQL.format('lower(text)')}) AS w FROM {texts}) GROUP BY {key}, pos)"""
 
 
-def embed(column):
-    return embed_udf(lambda: HashEmbedder(EMBED_DIM))(column)
+def embed(text: Column | str) -> Column:
+    return hashed_words(F.col(text) if isinstance(text, str) else text, EMBED_DIM)
 
 
 # The memo knows the labelled texts, those of low quality only until before

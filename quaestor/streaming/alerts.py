@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,8 +19,9 @@ def alert_stream(
     """State of one alert per series: inactive, pending or firing.
 
     Takes (series, at, value) with `at` in seconds, a row per series and step
-    as windowed metrics give them, in order of time over the micro-batches. The
-    state kept per series is two numbers.
+    as closed windows give them. The state kept per series is two numbers. A
+    row at or before the last one judged is late and left out: its moment has
+    its state already.
     """
 
     def advance(
@@ -27,26 +29,28 @@ def alert_stream(
     ) -> Iterator[pd.DataFrame]:
         since, last = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values("at")
-        states, starts = [], []
-        for at, value in zip(rows["at"].tolist(), rows["value"].tolist()):
-            if not value > threshold:
-                since = None
-            elif since is None or at - last > step:
-                since = at
-            last = at
-            starts.append(since)
-            states.append(
-                "inactive" if since is None else "firing" if at - since >= hold else "pending"
-            )
-        state.update((since, last))
+        if last is not None:
+            rows = rows[rows["at"] > last]
+        if rows.empty:
+            return
+        at = rows["at"].to_numpy()
+        active = (rows["value"] > threshold).to_numpy()
+        was = np.append(since is not None, active[:-1])
+        gap = np.diff(at, prepend=at[0] - step - 1 if last is None else last) > step
+        # Each moment's last start: of this batch, or the one carried over.
+        number = np.cumsum(active & (~was | gap))
+        starts = np.append(0 if since is None else since, at[active & (~was | gap)])
+        begun = starts[number]
+        held = np.where(at - begun >= hold, "firing", "pending")
+        state.update((int(begun[-1]) if active[-1] else None, int(at[-1])))
         yield pd.DataFrame(
             {
                 "series": key[0],
-                "at": rows["at"].to_numpy(),
-                "state": states,
-                "active_since": pd.array(starts, dtype="Int64"),
+                "at": at,
+                "state": np.where(active, held, "inactive"),
+                "active_since": pd.array(np.where(active, begun, 0), dtype="Int64"),
             }
-        )
+        ).assign(active_since=lambda f: f["active_since"].mask(~active))
 
     return evaluations.groupBy("series").applyInPandasWithState(
         advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout

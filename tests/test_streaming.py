@@ -105,6 +105,20 @@ def test_alert_stream_matches_batch(spark, tmp_path):
     )
 
 
+def test_alert_stream_leaves_late_rows_out(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "series string, at long, value double"
+    batches = [[(0, 9.0), (60, 9.0)], [(30, 0.0), (120, 9.0), (180, 0.0)], [(240, 9.0)]]
+    for rows_in in batches:
+        part = spark.createDataFrame([("s", *r) for r in rows_in], schema)
+        part.coalesce(1).write.mode("append").parquet(source)
+        states = alert_stream(file_stream(spark, source, schema, 1), 1.0, 120, 60)
+        writer = states.writeStream.format("parquet").option("path", target).outputMode("append")
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.parquet(target), "at", "state", F.coalesce("active_since", F.lit(-1)))
+    assert got == [(0, "pending", 0), (60, "pending", 0), (120, "firing", 0), (180, "inactive", -1), (240, "pending", 240)]
+
+
 def test_cache_stream_matches_batch(spark, tmp_path):
     log = events(spark).select(
         F.col("event_id").alias("request_id"),
