@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import decontaminate, language, near_dup, packing, secrets
@@ -29,7 +29,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One document of each group of near copies: the smallest id.
 
     Of an id that is kept and occurs in several rows, one row stays, the first
-    by text; such ids are few, and only their rows are ranked.
+    by text; copies of a row meet on the map side.
     """
     groups = stored(near_dup.near_duplicates(docs), "groups")
     dropped = groups.filter(~F.col("kept")).select("doc_id").distinct()
@@ -39,13 +39,16 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if again.isEmpty():
         return left
     several = left.join(again, "doc_id", "left_semi").select(*left.columns)
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = several.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    first = F.min_by(F.struct(*left.columns), F.struct("text")).alias("_row")
+    one = several.groupBy("doc_id").agg(first).select("_row.*")
     return anti_join(left, again, "doc_id").union(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
+    """Documents without an overlap with a benchmark item.
+
+    A row without an id cannot be named by its overlap and stays.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(docs, items).select("doc_id").distinct()
     return anti_join(docs, stored(found, "contaminated"), "doc_id")

@@ -177,8 +177,8 @@ class Scanner:
         self.queries = [trigram_query(r.pattern) for r in rules]
         listed = sorted(set().union(*[_trigrams(q) for q in self.queries]))
         self.number = {t: i for i, t in enumerate(listed, 1)}
-        # 2^24 places, two bytes each: the number of the trigram, 0 for others.
-        self.table = np.zeros(1 << 24, np.uint16)
+        # 2^24 places: the number of the trigram, 0 for others.
+        self.table = np.zeros(1 << 24, np.uint8 if len(listed) < 256 else np.uint16)
         for trigram, i in self.number.items():
             a, b, c = trigram.encode()
             self.table[a << 16 | b << 8 | c] = i

@@ -26,6 +26,9 @@ END_ID = 0
 #: Pieces that a worker keeps; beyond, it starts anew.
 KEPT_PIECES = 1_000_000
 
+#: Pieces that the library gets at once.
+_AT_ONCE = 4096
+
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 #: The endings that the vocabulary's splitting rule cuts off a word.
@@ -36,9 +39,8 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def _classes() -> np.ndarray:
     """Letter, number, white space or other, for each code point."""
     classes = np.zeros(sys.maxunicode + 1, np.uint8)
-    points = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]
-    every = "".join(map(chr, points))
-    where = np.array(points)
+    where = np.concatenate([np.arange(0xD800), np.arange(0xE000, sys.maxunicode + 1)])
+    every = where.astype("<u4").tobytes().decode("utf-32-le")
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
             classes[where[found.start() : found.end()]] = kind
@@ -57,7 +59,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # Ascending hashes of the pieces, and the number of each.
+        self.known = np.zeros(0, np.uint64)
+        self.number = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -90,16 +94,17 @@ class Encoder:
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(unique) > KEPT_PIECES:
             self._forget()
-        known = self.known
-        places = np.fromiter((known.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
-        new = np.flatnonzero(places < 0)
+        at = np.searchsorted(self.known, unique)
+        held = np.zeros(len(unique), bool)
+        inside = at < len(self.known)
+        held[inside] = self.known[at[inside]] == unique[inside]
+        new = np.flatnonzero(~held)
         if len(new):
-            raw = [(int(starts[i]), int(ends[i])) for i in first[new]]
-            encoded = self.library.encode_batch_fast(
-                [texts[a:b] for a, b in raw], add_special_tokens=False
-            )
-            places[new] = self._learn(unique[new].tolist(), [e.ids for e in encoded])
-        place = places[inverse]
+            raw = [texts[starts[i] : ends[i]] for i in first[new]]
+            numbers = self._learn(self._library_ids(raw))
+            self.known = np.insert(self.known, at[new], unique[new])
+            self.number = np.insert(self.number, at[new], numbers)
+        place = self.number[np.searchsorted(self.known, unique)][inverse]
         begin = self.begin[place]
         length = self.begin[place + 1] - begin
         stop = np.cumsum(length)
@@ -108,7 +113,14 @@ class Encoder:
         counts = np.diff(per_piece[np.searchsorted(starts, offsets)])
         return self.flat[take], counts
 
-    def _learn(self, hashes: list[int], ids: list[list[int]]) -> np.ndarray:
+    def _library_ids(self, pieces: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(pieces), _AT_ONCE):
+            part = pieces[at : at + _AT_ONCE]
+            out += [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _learn(self, ids: list[list[int]]) -> np.ndarray:
         lengths = np.array([len(x) for x in ids], np.int64)
         fresh = np.array([i for x in ids for i in x], np.int32)
         count, end = len(self.known), self.used + len(fresh)
@@ -119,8 +131,7 @@ class Encoder:
         self.flat[self.used : end] = fresh
         self.begin[count + 1 : count + len(ids) + 1] = self.used + np.cumsum(lengths)
         self.used = end
-        self.known.update(zip(hashes, range(count, count + len(ids))))
-        return np.arange(count, count + len(ids))
+        return np.arange(count, count + len(ids), dtype=np.int32)
 
 
 def split(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
