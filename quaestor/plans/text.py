@@ -27,7 +27,34 @@ def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", "lang", "chunk_no", F.char_length("text").alias("chars"))
 
 
-@query("chunk_recursive")
+# The splitter in SQL, for texts without blank lines: lines below the size make
+# runs, a longer line and a text of one line are runs of words (or characters),
+# and a fold over the running lengths of a run finds its windows.
+CHUNK_SQL = """WITH line_lists AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''),
+lines AS (SELECT doc_id, lang, i, CASE WHEN i > 1 THEN chr(10) ELSE '' END || l[i] AS piece, len(l) = 1 AS lone
+  FROM line_lists, range(1, len(l) + 1) AS r(i) WHERE i > 1 OR l[1] <> ''),
+runs AS (SELECT *, lone OR length(piece) >= 1024 AS long,
+  2 * sum((lone OR length(piece) >= 1024)::INT) OVER (PARTITION BY doc_id ORDER BY i) - (lone OR length(piece) >= 1024)::INT AS run
+  FROM lines),
+parts AS (SELECT doc_id, lang, run, i, CASE WHEN NOT long THEN [piece] WHEN contains(piece, ' ')
+    THEN list_transform(string_split(piece, ' '), lambda w, n: CASE WHEN n > 1 THEN ' ' ELSE '' END || w)
+    ELSE string_split(piece, '') END AS units FROM runs),
+units AS (SELECT doc_id, lang, run, i, n, units[n] AS unit FROM parts, range(1, len(units) + 1) AS r(n) WHERE units[n] <> ''),
+sums AS (SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id, run ORDER BY i, n)::BIGINT AS upto FROM units),
+listed AS (SELECT doc_id, lang, run, list(unit ORDER BY i, n) AS u, list(upto ORDER BY i, n) AS c FROM sums GROUP BY ALL),
+packed AS (SELECT *, list_reduce(range(0, len(u)), lambda a, h: CASE
+    WHEN h > a.s AND c[h + 1] - coalesce(c[a.s], 0) > 1024
+    THEN {'s': list_filter(range(a.s, h + 1), lambda s: c[h] - coalesce(c[s], 0) <= 128
+             AND (s = h OR c[h + 1] - coalesce(c[s], 0) <= 1024))[1],
+          'o': list_append(a.o, {'f': a.s, 't': h})}
+    ELSE a END, {'s': 0::BIGINT, 'o': []::STRUCT(f BIGINT, t BIGINT)[]}) AS p FROM listed),
+cut AS (SELECT doc_id, lang, run, u, unnest(list_append(p.o, {'f': p.s, 't': len(u)::BIGINT})) AS w FROM packed),
+texts AS (SELECT doc_id, lang, run, w.f AS f, trim(array_to_string(u[w.f + 1 : w.t], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM cut),
+numbered AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY doc_id ORDER BY run, f) - 1 AS chunk_no FROM texts WHERE text <> '')
+SELECT sha256(doc_id || chr(31) || chunk_no || chr(31) || text) AS chunk_id, text, chunk_no, doc_id, lang FROM numbered"""
+
+
+@query("chunk_recursive", CHUNK_SQL)
 def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
     return ck.chunk_recursive(documents(spark, folder, "text", "lang"))
 
