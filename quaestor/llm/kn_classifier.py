@@ -47,6 +47,8 @@ SHARDS = 16
 
 #: Documents of a block have numbers of one byte.
 _BLOCK_DOCUMENTS = 255
+#: Larger blocks name a gram less often.
+_BLOCK_BYTES = 1 << 20
 _MOST = 255  # of a count's byte; a larger count takes several entries
 
 
@@ -98,7 +100,7 @@ def lists(docs: DataFrame, order: int, salts: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), _BLOCK_DOCUMENTS):
                 part = batch.slice(at, _BLOCK_DOCUMENTS)
-                for block in blocks(part.column(2)):
+                for block in blocks(part.column(2), _BLOCK_BYTES):
                     yield make(part, block, number)
                     number += len(block)
 

@@ -41,7 +41,7 @@ from quaestor.llm.textops import blocks
 from quaestor.llm.tokens import END_ID, encoder
 
 #: Tokens of documents, or number of examples, that a task holds at a time.
-ROUND_TOKENS = 2_000_000
+ROUND_TOKENS = 1_000_000
 ROUND_EXAMPLES = 20_000
 
 _SEQUENCES_PER_TASK = 33  # bits

@@ -1,7 +1,7 @@
 """Array operations on the texts of an Arrow batch.
 
 The operators of this package read texts in `mapInArrow` tasks. A batch is cut
-into blocks of about half a megabyte; a block's UTF-8 bytes are one array with the
+into blocks of about a quarter of a megabyte; a block's UTF-8 bytes are one array with the
 documents' offsets beside it, so splitting, hashing and counting run over all
 documents of a block at once. A longer text makes a block of its own, and is
 read whole. Nothing here keeps more than one block.
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

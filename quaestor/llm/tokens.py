@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 
 #: Pieces that a worker keeps; beyond, it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 
 #: Pieces that the library gets at once.
 _AT_ONCE = 4096
@@ -39,7 +39,8 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def _classes() -> np.ndarray:
     """Letter, number, white space or other, for each code point."""
     classes = np.zeros(sys.maxunicode + 1, np.uint8)
-    where = np.concatenate([np.arange(0xD800), np.arange(0xE000, sys.maxunicode + 1)])
+    where = np.arange(sys.maxunicode + 1, dtype=np.int32)
+    where = where[(where < 0xD800) | (where >= 0xE000)]
     every = where.astype("<u4").tobytes().decode("utf-32-le")
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
