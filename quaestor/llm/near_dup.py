@@ -7,8 +7,8 @@ and ten bits of mantissa after them. Empty buckets borrow from a full one chosen
 by a fixed random table, so small sets fill all registers too.
 
 1. Documents of equal sets are one node, the smallest id; only nodes go on.
-2. Registers are banded by seven. Nodes that share a band are compared with the
-   smallest node of it, not with each other.
+2. Registers are banded, by seven unless the rule says otherwise. Nodes that
+   share a band are compared with the smallest node of it, not with each other.
 3. The estimate of the similarity, corrected for the chance that two different
    minima compress to the same register, discards candidates that lie more than
    five standard errors below the threshold; what is left is confirmed on the
@@ -16,13 +16,14 @@ by a fixed random table, so small sets fill all registers too.
 4. Confirmed links make components. A band whose nodes still lie in different
    components is open: step 2 compared its nodes with one of them only. The nodes
    of open bands are joined once more, on their rarest shingles: of a set of n,
-   a link needs one common shingle among the n - 0.85 n + 1 that fewest of these
-   nodes have, early enough to leave room for the rest of the overlap. Pairs
-   inside a component are left out, as they could not change the result. What is
+   at 85 % a link needs one common shingle among the n - 0.85 n + 1 that fewest
+   of these nodes have, early enough to leave room for the rest of the overlap.
+   Pairs inside a component are left out, as they could not change the result. What is
    left goes through step 3.
 
-Two texts at the threshold of 0.85 share no band with a chance below 1e-6. Step 4
-is exact for the nodes it takes, and never lists the pairs of a band: a thousand
+Two texts at the threshold of 0.85 share no band of seven with a chance below
+1e-6; at 0.8 that takes bands of six, with a chance of about 3e-6. Step 4 is
+exact for the nodes it takes, and never lists the pairs of a band: a thousand
 copies with edits of their own, too far apart to link, differ in their rarest
 shingles.
 
@@ -52,8 +53,6 @@ SHINGLE_WORDS = 5
 _BUCKET_BITS = 8
 _BUCKETS = 1 << _BUCKET_BITS
 _MANTISSA_BITS = 10
-_BAND_ROWS = 7
-_BANDS = _BUCKETS // _BAND_ROWS
 
 #: Which bucket an empty one borrows from, at each of so many attempts.
 _BORROW = mix(np.arange(1, 512 * _BUCKETS + 1, dtype=np.uint64)).reshape(512, _BUCKETS) % np.uint64(
@@ -68,6 +67,7 @@ class Rule:
 
     percent: int = 85
     errors: float = 5.0
+    band_rows: int = 7
 
 
 def shingle_sets(block: Block) -> list[np.ndarray]:
@@ -136,18 +136,20 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, band_rows: int) -> DataFrame:
     """(band, node, n_shingles): a row for each band of each node."""
     kind = nodes.schema["node"].dataType.simpleString()
+    n_bands = _BUCKETS // band_rows
+    used = n_bands * band_rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                regs = _matrix(part.column(2))[:, : _BANDS * _BAND_ROWS].astype(np.uint64) + 1
-                keyed = (regs * _BAND_KEYS[: _BANDS * _BAND_ROWS]).reshape(-1, _BANDS, _BAND_ROWS)
-                band = mix(keyed.sum(axis=2) + np.arange(_BANDS, dtype=np.uint64) * _BAND_KEYS[-1])
-                take = pa.array(np.repeat(np.arange(len(part)), _BANDS))
+                regs = _matrix(part.column(2))[:, :used].astype(np.uint64) + 1
+                keyed = (regs * _BAND_KEYS[:used]).reshape(-1, n_bands, band_rows)
+                band = mix(keyed.sum(axis=2) + np.arange(n_bands, dtype=np.uint64) * _BAND_KEYS[-1])
+                take = pa.array(np.repeat(np.arange(len(part)), n_bands))
                 columns = [
                     pa.array(band.ravel().view(np.int64)),
                     part.column(0).take(take),
@@ -320,7 +322,7 @@ def near_duplicates(
     )
     nodes = stored(nodes, "nodes")
 
-    bands = _bands(nodes)
+    bands = _bands(nodes, rule.band_rows)
     leaders = (
         bands.groupBy("band")
         .agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
