@@ -12,6 +12,10 @@ a shard's lists over the cluster, and a shard's probabilities, whose number is
 bounded by the alphabet, are repeated once per salt. A joined list gives one
 partial sum per document of its block, and the sums of a document are added up.
 
+The symbol model is soon full, however large the corpus. What grows with it is a
+second model of the trusted texts' word pairs (see `word_model`). A text is kept
+if neither model finds it too surprising.
+
 Thresholds are quantiles of the mean surprise (log perplexity) of the trusted
 texts, per language, with some room above; a language with fewer than 50 trusted
 texts uses that of all. A short text's mean is uncertain, so it is held against
@@ -33,10 +37,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm import kneser_ney
+from quaestor.llm import kneser_ney, word_model
 from quaestor.llm.bloom import semi_join
 from quaestor.llm.stored import stored
 from quaestor.llm.symbols import BASE, grams
@@ -89,7 +93,7 @@ def shards(probabilities: DataFrame, salts: int) -> DataFrame:
 
 
 def lists(docs: DataFrame, order: int, salts: int) -> DataFrame:
-    """(shard, salt, block, doc_ids, langs, grams, ends, documents, counts) of (doc_id, lang, text).
+    """(shard, salt, block, doc_ids, langs, keys, grams, ends, documents, counts) of (doc_id, lang, text, key).
 
     The list of shard 0 also names the documents of the block.
     """
@@ -129,7 +133,7 @@ def lists(docs: DataFrame, order: int, salts: int) -> DataFrame:
                     counts[own].astype(np.uint8).tobytes(),
                 )
             )
-        first = [part.column(i)[block.rows].to_pylist() for i in (0, 1)]
+        first = [part.column(i)[block.rows].to_pylist() for i in (0, 1, 3)]
         columns = [
             pa.array(range(SHARDS), pa.int32()),
             pa.array([number % salts] * SHARDS, pa.int32()),
@@ -137,6 +141,7 @@ def lists(docs: DataFrame, order: int, salts: int) -> DataFrame:
             pa.array([len(block)] * SHARDS, pa.int32()),
             pa.array([first[0]] + [None] * (SHARDS - 1), pa.list_(part.column(0).type)),
             pa.array([first[1]] + [None] * (SHARDS - 1), pa.list_(pa.string())),
+            pa.array([first[2]] + [None] * (SHARDS - 1), pa.list_(pa.int64())),
             pa.array([r[0] for r in rows], pa.list_(pa.int32())),
             pa.array([r[1] for r in rows], pa.list_(pa.int32())),
             pa.array([r[2] for r in rows], pa.binary()),
@@ -144,16 +149,16 @@ def lists(docs: DataFrame, order: int, salts: int) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["shard", "salt", "block", "size", "doc_ids", "langs", "grams", "ends", "documents", "counts"]
+    names = ["shard", "salt", "block", "size", "doc_ids", "langs", "keys", "grams", "ends", "documents", "counts"]
     schema = (
-        f"shard int, salt int, block bigint, size int, doc_ids array<{kind}>, langs array<string>, "
+        f"shard int, salt int, block bigint, size int, doc_ids array<{kind}>, langs array<string>, keys array<bigint>, "
         "grams array<int>, ends array<int>, documents binary, counts binary"
     )
     return docs.mapInArrow(task, schema)
 
 
 def perplexities(docs: DataFrame, probabilities: DataFrame, order: int) -> DataFrame:
-    """(doc_id, lang, n_grams, surprise, error) of every row of (doc_id, lang, text)."""
+    """(doc_id, lang, key, n_grams, surprise, error) of every row of (doc_id, lang, text, key)."""
     spark = docs.sparkSession
     salts = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / SHARDS) + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -183,16 +188,18 @@ def perplexities(docs: DataFrame, probabilities: DataFrame, order: int) -> DataF
             pa.array(block + np.arange(size)),
             row["doc_ids"].values if named else pa.nulls(size, ids_type.value_type),
             row["langs"].values if named else pa.nulls(size, pa.string()),
+            row["keys"].values if named else pa.nulls(size, pa.int64()),
             *[pa.array(x) for x in partial],
         ]
-        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "lang", "n", "s", "ss"])
+        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "lang", "key", "n", "s", "ss"])
 
     partial = met.mapInArrow(
-        task, f"row bigint, doc_id {kind}, lang string, n double, s double, ss double"
+        task, f"row bigint, doc_id {kind}, lang string, key bigint, n double, s double, ss double"
     )
     whole = partial.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("lang").alias("lang"),
+        F.max("key").alias("key"),
         *[F.sum(c).alias(c) for c in ("n", "s", "ss")],
     )
     some = F.col("n") > 0
@@ -201,6 +208,7 @@ def perplexities(docs: DataFrame, probabilities: DataFrame, order: int) -> DataF
     return whole.select(
         "doc_id",
         "lang",
+        "key",
         F.col("n").cast("long").alias("n_grams"),
         mean.alias("surprise"),
         F.when(some, F.sqrt(variance / F.col("n"))).alias("error"),
@@ -235,6 +243,16 @@ def thresholds(trusted: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _cut(trusted: DataFrame, rule: Rule) -> Column:
+    """The threshold of a row's language, from (lang, surprise) of the trusted texts."""
+    # One row per language.
+    cuts = {r.lang: r.threshold for r in thresholds(trusted, rule).collect()}
+    threshold = F.lit(cuts.pop(None, None)).cast("double")
+    for lang, cut in sorted(cuts.items()):
+        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, cut).otherwise(threshold)
+    return threshold
+
+
 def classify(
     docs: DataFrame,
     trusted_ids: DataFrame,
@@ -244,7 +262,8 @@ def classify(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """(doc_id, lang, n_grams, trusted, log_perplexity, threshold, kept) of every document.
+    """(doc_id, lang, n_grams, trusted, log_perplexity, threshold, word_log_perplexity,
+    word_threshold, kept) of every document.
 
     `trusted_ids` holds the ids of trusted documents in its first column.
     """
@@ -256,16 +275,20 @@ def classify(
     model = kneser_ney.fit(kneser_ney.gram_counts(trusted, order), order)
     every = stored(kneser_ney.gram_counts(own, order).select("gram"), "grams")
     p = stored(kneser_ney.probabilities(every, model), "probabilities")
-    table = perplexities(own, p, order)
+    table = perplexities(own.withColumn("key", word_model.key()), p, order)
     marked = table.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left")
     marked = stored(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "perplexities")
-    # One row per language.
-    cuts = {r.lang: r.threshold for r in thresholds(marked.filter("trusted"), rule).collect()}
-    threshold = F.lit(cuts.pop(None, None)).cast("double")
-    for lang, cut in sorted(cuts.items()):
-        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, cut).otherwise(threshold)
+    by_words = stored(word_model.surprises(own.select("text"), trusted.select("text")), "word_surprises")
+    marked = marked.join(by_words.select("key", *[F.col(c).alias(f"_{c}") for c in by_words.columns[1:]]), "key", "left")
+    # A trusted text doesn't vouch for itself.
+    for c in ("surprise", "error"):
+        marked = marked.withColumn(f"word_{c}", F.when(F.col("trusted"), F.col(f"_{c}_alone")).otherwise(F.col(f"_{c}")))
+    marked = stored(marked.drop(*[f"_{c}" for c in by_words.columns[1:]]), "marked")
+    threshold = _cut(marked.filter("trusted"), rule)
+    word_threshold = _cut(marked.filter("trusted").select("lang", F.col("word_surprise").alias("surprise")), rule)
     surprise = F.col("surprise")
     above = surprise - rule.errors * F.col("error") > threshold
+    word_above = F.col("word_surprise") - rule.errors * F.col("word_error") > word_threshold
     return marked.select(
         "doc_id",
         "lang",
@@ -273,5 +296,9 @@ def classify(
         "trusted",
         surprise.alias("log_perplexity"),
         threshold.alias("threshold"),
-        (surprise.isNotNull() & ~F.coalesce(above, F.lit(False))).alias("kept"),
+        F.col("word_surprise").alias("word_log_perplexity"),
+        word_threshold.alias("word_threshold"),
+        (
+            surprise.isNotNull() & ~F.coalesce(above, F.lit(False)) & ~F.coalesce(word_above, F.lit(False))
+        ).alias("kept"),
     )

@@ -4,6 +4,10 @@ A modified Kneser-Ney model of the texts' symbol n-grams is counted and
 estimated in Spark over all documents, then read into sorted hash arrays (its
 size is bounded by the alphabet, see `symbols`) that every task searches.
 
+The symbol model is soon full, however large the corpus. What grows with it is a
+second model of all texts' word pairs (see `word_model`), held against bands of
+its own; a text is kept if it lies in the bands of both.
+
 A document's verdict holds its mean surprise (the logarithm of its perplexity)
 against the band of its language: from the lower quartile less three quartile
 distances to the upper quartile plus three, over all documents that pass the
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm import kneser_ney
+from quaestor.llm import kneser_ney, word_model
 from quaestor.llm.stored import stored
 from quaestor.llm.symbols import grams
 from quaestor.llm.textops import ASCII_SPACE, BYTE_KEYS, Block, hash_runs, map_blocks, mix, windows, words
@@ -93,8 +97,9 @@ def _repeated(hashes: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: kneser_ney.HashArrays, columns: tuple[str, str, str]) -> DataFrame:
-    """(doc_id, lang, counts, base_failed, surprise, length) of every document."""
+    """(doc_id, lang, key, counts, base_failed, surprise, length) of every document."""
     own = docs.select(*[F.col(c).alias(a) for c, a in zip(columns, ("doc_id", "lang", "text"))])
+    own = own.withColumn("key", word_model.key())
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def make(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
@@ -108,18 +113,19 @@ def scored(docs: DataFrame, model: kneser_ney.HashArrays, columns: tuple[str, st
         columns = [
             batch.column(0)[block.rows],
             batch.column(1)[block.rows],
+            batch.column(3)[block.rows],
             *[pa.array(counts[c].astype(np.int64)) for c in COUNTS],
             pa.array(failed),
             pa.array(mean, mask=length == 0),
             pa.array(length.astype(np.int64)),
         ]
-        names = ["doc_id", "lang", *COUNTS, "base_failed", "surprise", "length"]
+        names = ["doc_id", "lang", "key", *COUNTS, "base_failed", "surprise", "length"]
         return pa.RecordBatch.from_arrays(columns, names)
 
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
     return own.mapInArrow(
         lambda batches: map_blocks(batches, 2, make),
-        f"doc_id {kind}, lang string, {counts}, base_failed boolean, surprise double, length bigint",
+        f"doc_id {kind}, lang string, key bigint, {counts}, base_failed boolean, surprise double, length bigint",
     )
 
 
@@ -166,6 +172,18 @@ def _of_language(limits: dict[str | None, tuple], which: int) -> Column:
     return out
 
 
+def _inside(table: DataFrame, rule: Bands, surprise: str = "surprise", length: str = "length") -> Column:
+    """Whether a surprise lies in its language's bands, which come from `surprise` and `length` of the table."""
+    plain = bands(table, F.col("surprise"), rule)
+
+    def apart(value: str, size: str) -> Column:
+        return (F.col(value) - _of_language(plain, 1)) * F.sqrt(size)
+
+    scaled = bands(table, apart("surprise", "length"), rule)
+    near = F.col(surprise).between(_of_language(plain, 0), _of_language(plain, 2))
+    return near | apart(surprise, length).between(_of_language(scaled, 0), _of_language(scaled, 2))
+
+
 def judge(
     docs: DataFrame,
     rule: Bands = Bands(),
@@ -173,15 +191,17 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """(doc_id, n_words, …, base_failed, kept, log_perplexity) of every document."""
+    """(doc_id, n_words, …, base_failed, kept, log_perplexity, word_log_perplexity) of every document."""
     counts = kneser_ney.gram_counts(docs, ORDER, text_col)
     arrays = kneser_ney.HashArrays(kneser_ney.fit(counts, ORDER))
     table = stored(scored(docs, arrays, (id_col, lang_col, text_col)), "scored")
-    plain = bands(table, F.col("surprise"), rule)
-    apart = (F.col("surprise") - _of_language(plain, 1)) * F.sqrt("length")
-    scaled = bands(table, apart, rule)
-    inside = F.col("surprise").between(_of_language(plain, 0), _of_language(plain, 2))
-    inside = inside | apart.between(_of_language(scaled, 0), _of_language(scaled, 2))
+    # Every text is in training, so what it alone holds is left out of its score.
+    by_words = word_model.surprises(docs.select(F.col(text_col).alias("text")))
+    by_words = by_words.select("key", F.col("words"), F.col("surprise_alone").alias("word_surprise"))
+    table = stored(table.join(stored(by_words, "word_surprises"), "key", "left"), "judged")
+    inside = _inside(table, rule)
+    by_word = table.withColumn("surprise", F.col("word_surprise")).withColumn("length", F.col("words"))
+    inside = inside & _inside(by_word, rule, "word_surprise", "words")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return table.select(
         "doc_id",
@@ -189,4 +209,5 @@ def judge(
         "base_failed",
         kept.alias("kept"),
         F.col("surprise").alias("log_perplexity"),
+        F.col("word_surprise").alias("word_log_perplexity"),
     )
