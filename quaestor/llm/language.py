@@ -173,12 +173,14 @@ def fit(sample: list[tuple[str, str]], options: Fit = Fit()) -> Model:
 def sample_of(labelled: DataFrame, options: Fit = Fit(), text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """Per language the texts with the smallest hash: at most `options.texts` each.
 
-    A count per language tells which share of the hashes suffices, so the ranking
-    sees about twice the rows it keeps and no language comes together in a task.
+    A count of different texts per language, copies being one, tells which share
+    of the hashes suffices, so the ranking sees about twice the rows it keeps and
+    no language comes together in a task.
     """
     has = F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = labelled.filter(has).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = rows.select("lang", "hash").distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     limit = F.lit(None).cast("long")
