@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import (
+    conversation_repair,
     decontaminate,
     kn_classifier,
     language,
@@ -170,3 +171,8 @@ def op9_kneser_ney_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_trigram_secrets")
 def op10_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
+
+
+@query("op12_idastar_repair")
+def op12_idastar_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, folder, "conversations"))
