@@ -16,6 +16,7 @@ from quaestor.llm import (
     licenses,
     near_dup,
     packing,
+    personal_data,
     quality_rules,
     secrets,
     token_files,
@@ -173,6 +174,11 @@ def op10_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+@query("op11_offset_transducers")
+def op11_offset_transducers(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, folder, "documents"))
+
+
 @query("op12_idastar_repair")
 def op12_idastar_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair_conversations(table(spark, folder, "conversations"))
