@@ -19,6 +19,7 @@ from quaestor.llm import (
     personal_data,
     quality_rules,
     secrets,
+    spelling,
     token_files,
     url_rules,
 )
@@ -182,3 +183,8 @@ def op11_offset_transducers(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_idastar_repair")
 def op12_idastar_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repair_conversations(table(spark, folder, "conversations"))
+
+
+@query("op13_bloom_neighbourhoods")
+def op13_bloom_neighbourhoods(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
