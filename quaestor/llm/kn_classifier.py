@@ -13,12 +13,12 @@ bounded by the alphabet, are repeated once per salt. A joined list gives one
 partial sum per document of its block, and the sums of a document are added up.
 
 The symbol model is soon full, however large the corpus. What grows with it is a
-second model of the trusted texts' word pairs (see `word_model`). A text is kept
-if neither model finds it too surprising.
+second model of the trusted texts' words after word endings (see `word_model`). A
+text is kept if neither model finds it too surprising.
 
 Thresholds are quantiles of the mean surprise (log perplexity) of the trusted
-texts, per language, with some room above; a language with fewer than 50 trusted
-texts uses that of all. A short text's mean is uncertain, so it is held against
+texts, per language, with some room above; they are drawn towards that of all
+trusted texts, as if 50 more had it. A short text's mean is uncertain, so it is held against
 the threshold less four of its standard errors.
 
 Null and empty texts have no perplexity and are not kept. Without any trusted
@@ -61,7 +61,7 @@ class Rule:
     quantile: float = 0.99
     room: float = 0.05  # added to the threshold on log perplexity
     errors: float = 4.0
-    least_documents: int = 50
+    drawn: float = 50.0  # texts' worth of the threshold of all in a language's own
     bins: int = 1000
 
 
@@ -216,14 +216,14 @@ def perplexities(docs: DataFrame, probabilities: DataFrame, order: int) -> DataF
 
 
 def thresholds(trusted: DataFrame, rule: Rule) -> DataFrame:
-    """(lang, threshold) from (lang, surprise) of the trusted texts; null for all.
+    """(lang, threshold, n) from (lang, surprise) of the trusted texts; null for all.
 
     Read off a histogram, whose rows are bounded by the bins and the languages.
     """
     bin_ = F.floor(F.col("surprise") * rule.bins).alias("bin")
     counted = (
         trusted.filter(F.col("surprise").isNotNull())
-        .groupBy(F.coalesce("lang", F.lit("")).alias("lang"), bin_)
+        .groupBy(_language().alias("lang"), bin_)
         .agg(F.count("*").alias("n"))
     )
     every = counted.groupBy(F.lit(None).cast("string").alias("lang"), "bin").agg(F.sum("n").alias("n"))
@@ -238,18 +238,23 @@ def thresholds(trusted: DataFrame, rule: Rule) -> DataFrame:
     return (
         ranked.groupBy("lang")
         .agg((F.min(reached) / rule.bins + rule.room).alias("threshold"), F.max("_all").alias("n"))
-        .filter((F.col("n") >= rule.least_documents) | F.col("lang").isNull())
-        .select("lang", "threshold")
     )
 
 
+def _language() -> Column:
+    """The language as a key; that of null is no other's."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
+
+
 def _cut(trusted: DataFrame, rule: Rule) -> Column:
     """The threshold of a row's language, from (lang, surprise) of the trusted texts."""
     # One row per language.
-    cuts = {r.lang: r.threshold for r in thresholds(trusted, rule).collect()}
-    threshold = F.lit(cuts.pop(None, None)).cast("double")
-    for lang, cut in sorted(cuts.items()):
-        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, cut).otherwise(threshold)
+    cuts = {r.lang: (r.n, r.threshold) for r in thresholds(trusted, rule).collect()}
+    _, common = cuts.pop(None, (0, None))
+    threshold = F.lit(common).cast("double")
+    for lang, (n, own) in sorted(cuts.items()):
+        drawn = (n * own + rule.drawn * common) / (n + rule.drawn)
+        threshold = F.when(_language() == lang, drawn).otherwise(threshold)
     return threshold
 
 

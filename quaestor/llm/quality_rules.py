@@ -5,8 +5,8 @@ estimated in Spark over all documents, then read into sorted hash arrays (its
 size is bounded by the alphabet, see `symbols`) that every task searches.
 
 The symbol model is soon full, however large the corpus. What grows with it is a
-second model of all texts' word pairs (see `word_model`), held against bands of
-its own; a text is kept if it lies in the bands of both.
+second model of all texts' words after word endings (see `word_model`), held
+against bands of its own; a text is kept if it lies in the bands of both.
 
 A document's verdict holds its mean surprise (the logarithm of its perplexity)
 against the band of its language: from the lower quartile less three quartile
@@ -14,8 +14,8 @@ distances to the upper quartile plus three, over all documents that pass the
 base rules. Texts far below are repetitive, texts far above are noise. The mean
 of a short text is uncertain, so a text outside the band is kept if its distance
 from the language's median, times the root of its length, lies in the band made
-the same way of those products. A language with fewer than 50 such documents
-uses the bands of all.
+the same way of those products. A language's limits are drawn towards those of
+all documents, as if 50 more documents had them, so a rare language leans on all.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null and empty texts fail the base rules. A null
 language is a language of its own. Repeated rows count as often as they occur;
@@ -49,7 +49,7 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS.encode(), np.uint8))
 @dataclass(frozen=True)
 class Bands:
     distances: float = 3.0
-    least_documents: int = 50
+    drawn: float = 50.0  # documents' worth of the limits of all in a language's own
     bins: int = 1000  # of the histograms, per unit
 
 
@@ -155,13 +155,17 @@ def bands(table: DataFrame, value: Column, rule: Bands) -> dict[str | None, tupl
     for row in rows:
         lower, middle, upper = row.at
         room = rule.distances * (upper - lower)
-        if row.lang is None or row.n >= rule.least_documents:
-            out[row.lang] = (lower - room, middle, upper + room)
-    return out
+        out[row.lang] = (row.n, np.array([lower - room, middle, upper + room]))
+    if not out:
+        return {}
+    common = out[None][1]
+    drawn = {k: (n * own + rule.drawn * common) / (n + rule.drawn) for k, (n, own) in out.items()}
+    return {k: tuple(map(float, v)) for k, v in drawn.items()}
 
 
 def _language() -> Column:
-    return F.coalesce("lang", F.lit(""))
+    """The language as a key; that of null is no other's."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
 
 
 def _of_language(limits: dict[str | None, tuple], which: int) -> Column:
