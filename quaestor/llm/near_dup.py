@@ -6,7 +6,8 @@ the smallest rest it saw, compressed to 16 bits: the count of its leading zeros
 and ten bits of mantissa after them. Empty buckets borrow from a full one chosen
 by a fixed random table, so small sets fill all registers too.
 
-1. Documents of equal sets are one node, the smallest id; only nodes go on.
+1. Rows of equal sets are one node, with a number of its own; only nodes go on.
+   A component is named after the smallest id among its rows at the very end.
 2. Registers are banded, by seven unless the rule says otherwise. Nodes that
    share a band are compared with the smallest node of it, not with each other.
 3. The estimate of the similarity, corrected for the chance that two different
@@ -29,7 +30,7 @@ shingles.
 
 Null and empty texts have the empty set and link with nothing. Repeated rows of
 an id get the same component; if an id has several texts, each row gets the
-component of its own text. A null id takes no part: its rows are kept, with a
+component of its own text, and is kept if that bears its id. A null id takes no part: its rows are kept, with a
 null component. An empty table gives no rows. Only the id and
 text columns are read. The broadcast tables are left to adaptive execution.
 """
@@ -43,8 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quaestor.llm.bloom import semi_join
+from quaestor.llm.bloom import anti_join, semi_join
 from quaestor.llm.stored import stored
 from quaestor.llm.textops import Block, blocks, map_blocks, mix, windows, words
 
@@ -112,6 +114,34 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What tells two sets apart: their size and two sums of mixed hashes.
+KEYS = ["n_shingles", "set_a", "set_b"]
+
+
+def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    mixed = [mix(s) for s in sets]
+    sums = [[m.sum() for m in mixed], [mix(m).sum() for m in mixed]]
+    return [
+        pa.array([len(s) for s in sets], pa.int64()),
+        *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums],
+    ]
+
+
+def with_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with the keys of each row's set in three last columns, `_n_shingles` and so on."""
+    names = [f"_{k}" for k in KEYS]
+    at = docs.columns.index(text_col)
+
+    def make(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
+        rows = batch.slice(block.first, len(block))
+        return pa.RecordBatch.from_arrays([*rows.columns, *_set_keys(shingle_sets(block))], [*rows.schema.names, *names])
+
+    schema = docs.schema
+    for name in names:
+        schema = StructType([*schema.fields, StructField(name, LongType())])
+    return docs.mapInArrow(lambda batches: map_blocks(batches, at, make), schema)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, registers): equal sets have equal keys."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -119,15 +149,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make(batch: pa.RecordBatch, block: Block) -> pa.RecordBatch:
         sets = shingle_sets(block)
-        mixed = [mix(s) for s in sets]
         columns = [
             batch.column(0)[block.rows],
-            pa.array([len(s) for s in sets], pa.int64()),
-            pa.array(np.array([m.sum() for m in mixed], np.uint64).view(np.int64)),
-            pa.array(np.array([mix(m).sum() for m in mixed], np.uint64).view(np.int64)),
+            *_set_keys(sets),
             pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
         ]
-        names = ["doc_id", "n_shingles", "set_a", "set_b", "registers"]
+        names = ["doc_id", *KEYS, "registers"]
         return pa.RecordBatch.from_arrays(columns, names)
 
     return own.mapInArrow(
@@ -202,11 +229,21 @@ def _promising(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return met.mapInArrow(task, f"a {kind}, b {kind}").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs that meet the rule on their full sets."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    # Repeated rows of an id are one text here.
-    own = stored(semi_join(texts, ids, "node").distinct(), "texts")
+def _texts(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in the first column of `wanted`, from (doc_id, text).
+
+    An id may have texts of several sets, so the texts that its id fetches are
+    told apart by the keys of their sets.
+    """
+    named = sets.join(wanted.toDF("node").distinct(), "node").select("node", "doc_id", *KEYS)
+    named = stored(named, "wanted")
+    rows = semi_join(texts, named.select("doc_id").distinct(), "doc_id").distinct()
+    own = with_keys(rows).toDF("doc_id", "text", *KEYS)
+    return stored(own.join(named, ["doc_id", *KEYS]).select("node", "text"), "texts")
+
+
+def _confirmed(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs that meet the rule on their full sets, from the texts (node, text) of their nodes."""
     met = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -310,17 +347,17 @@ def near_duplicates(
     docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`."""
+    return groups(docs, rule, id_col, text_col).drop("set_a", "set_b")
+
+
+def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`near_duplicates` with the keys of each row's set (n_shingles, set_a, set_b)."""
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     takes_part = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    keys = ["set_a", "set_b", "n_shingles"]
-    sets = stored(takes_part.groupBy(*keys).agg(F.min("doc_id").alias("node")), "sets")
-    nodes = (
-        takes_part.withColumnRenamed("doc_id", "node")
-        .join(sets, ["node", *keys], "left_semi")
-        .select("node", "n_shingles", "registers")
-        .distinct()
-    )
-    nodes = stored(nodes, "nodes")
+    # Equal sets have equal registers.
+    one = takes_part.groupBy(*KEYS).agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    sets = stored(one.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = sets.select("node", "n_shingles", "registers")
 
     bands = _bands(nodes, rule.band_rows)
     leaders = (
@@ -331,13 +368,15 @@ def near_duplicates(
     )
     shared = stored(bands.join(leaders, "band"), "bands")
 
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pairs = (
         shared.filter(F.col("node") != F.col("leader"))
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = stored(_confirmed(stored(_promising(pairs, nodes, rule), "pairs"), texts, rule), "star")
+    promising = stored(_promising(pairs, nodes, rule), "pairs")
+    star_texts = _texts(texts, sets, promising.select(F.explode(F.array("a", "b"))))
+    links = stored(_confirmed(promising, star_texts, rule), "star")
     labels = components(links)
 
     named = shared.join(labels, "node", "left").select(
@@ -352,7 +391,7 @@ def near_duplicates(
     )
     unsure = named.join(open_bands, "band", "left_semi").select("node", "component").distinct()
     unsure = stored(unsure, "unsure")
-    own_texts = stored(semi_join(texts, unsure.select("node"), "node").distinct(), "texts")
+    own_texts = _texts(texts, sets, unsure.select("node"))
     across = _sharing_rare(_shingle_rows(own_texts), unsure, rule).join(pairs, ["a", "b"], "left_anti")
     promising = stored(_promising(across, nodes, rule), "across")
     if not promising.isEmpty():
@@ -361,12 +400,36 @@ def near_duplicates(
             labels = components(links.union(more))
 
     members = sets.join(labels, "node", "left").select(
-        "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id")
-    )
-    own = ["doc_id", "n_shingles", "component_id"]
-    linked = takes_part.join(members, keys).select(*own)
-    apart = signed.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        *KEYS, "doc_id", F.coalesce("component", "node").alias("component")
     )
+    members = stored(members, "members")
+    names = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    members = members.join(names, "component").select(*KEYS, "component_id")
+    own = ["doc_id", "n_shingles", "component_id", "set_a", "set_b"]
+    linked = takes_part.join(members, KEYS).select(*own)
+    apart = signed.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    apart = apart.withColumn("component_id", F.col("doc_id")).select(*own)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    return linked.union(apart).withColumn("kept", kept)
+    return linked.union(apart).select(*own[:3], kept.alias("kept"), *own[3:])
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are kept: of each group the row of the smallest id.
+
+    Of a kept id and set that occur in several rows the first by text stays;
+    copies of a row meet on the map side. Rows of a null id all stay.
+    """
+    found = stored(groups(docs, rule, id_col, text_col).filter(F.col("doc_id").isNotNull()), "groups")
+    again = stored(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    dropped = found.filter(~F.col("kept")).select("doc_id").union(again).distinct()
+    left = anti_join(docs, stored(dropped, "dropped"), id_col)
+    if again.isEmpty():
+        return left
+    # Rows of an id that occurs again are told apart by their sets.
+    several = with_keys(semi_join(docs, again, id_col), text_col)
+    kept = found.filter("kept").join(again, "doc_id", "left_semi").select("doc_id", *KEYS).distinct()
+    kept = kept.toDF(id_col, *[f"_{k}" for k in KEYS])
+    of = [id_col, *[f"_{k}" for k in KEYS]]
+    first = F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("_row")
+    one = several.join(kept, of, "left_semi").groupBy(*of).agg(first).select("_row.*")
+    return left.union(one)
