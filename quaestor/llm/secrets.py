@@ -70,8 +70,15 @@ MORE_RULES = (
     Rule("sendgrid", r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
     Rule("npm", r"\bnpm_[A-Za-z0-9]{36}"),
     Rule("pypi", r"\bpypi-AgE[A-Za-z0-9_-]{40,}"),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # From the start of a run on: a run of many such starts is read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    # To the line of its end, or as far as lines of base64 go.
+    Rule(
+        "private_key",
+        r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:(?!-----)[A-Za-z0-9+/=\s\\:;,.()@<>_-])*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]++={1,2}+)?+)",
+    ),
     Rule("session_key", r"\bASIA[A-Z0-9]{16}"),
     Rule("bearer", r"\b[Bb]earer [A-Za-z0-9._~+/-]{24,}=*"),
     Rule("credentials", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -266,3 +267,38 @@ def test_rules_are_filed_under_their_rarest_token():
     assert url_rules.compile_rule("block", "||spam-farm.*^").tokens == ("spam", "farm")
     assert url_rules.compile_rule("block", "abc/def").tokens == ()
     assert {rules[i].text for i in rest} == {r.text for r in rules if not r.tokens}
+
+
+KEY_BODY = "\n".join(["MIIEpAIBAAKCAQEA" + "Ab9+/x" * 8] * 5)
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        (f"a -----BEGIN RSA PRIVATE KEY-----\n{KEY_BODY}\nqL3=\n-----END RSA PRIVATE KEY----- b", "a [private_key] b"),
+        (f"a -----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{KEY_BODY}\n-----END PRIVATE KEY-----", "a [private_key]"),
+        (f"a -----BEGIN PRIVATE KEY-----\n{KEY_BODY}\nqL3=\nThen prose goes on.", "a [private_key]\nThen prose goes on."),
+        ("a -----BEGIN PRIVATE KEY----- and prose", "a [private_key] and prose"),
+        (r"k = '-----BEGIN PRIVATE KEY-----\nMIIEpAIBAAKCAQEAxx\n-----END PRIVATE KEY-----\n'", r"k = '[private_key]\n'"),
+    ],
+)
+def test_private_keys_go_with_their_bodies(spark, text, left):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert secrets.redact(df).first().text == left
+
+
+@pytest.mark.parametrize("part", ["eyJaaaaaaaa-", "eyJaaaaaaaa.", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\nMIIEpAIBAAKCAQEA\n"])
+def test_hostile_texts_take_linear_time(part):
+    (block,) = blocks(pa.array([part * (1_000_000 // len(part))]), 1 << 21)
+    scan = secrets.scanner()
+    began = time.process_time()
+    scan.scan(block)
+    assert time.process_time() - began < 8
+
+
+def test_a_block_gives_its_spans_each_time():
+    """Blocks cut from arrays that are dropped at once."""
+    text = "x password: hunter2hunter2 y"
+    for i in range(300):
+        (block,) = blocks(pa.array(["pad" * (i % 7), text]).slice(1))
+        assert secrets.scanner().scan(block) == [[(2, 26, 0)]]
