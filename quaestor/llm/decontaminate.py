@@ -5,13 +5,14 @@ looks at some places of a window and ignores the others, so a window with
 substituted tokens still has equal seeds wherever the substitutions fall on
 ignored places. Items and documents are hashed with every mask at every place;
 equal hashes are hits, and a hit names a diagonal: the item laid over the text
-at one offset. On every diagonal with a hit the tokens around it are compared,
-and the longest stretch with at least `identity` equal tokens is the overlap,
+at one offset. On every diagonal with a hit the whole item is compared, and the
+longest stretch with at least `identity` equal tokens is the overlap,
 reported if it has `least_tokens`. The masks hit every such stretch.
 
 The seeds of the documents never move: a Bloom filter of fixed size, made from
 the items' seeds, lets few others than true hits through. Each group of hits
-that lie close together in a text is one row with the tokens around them, so
+that lie close together in a text is one row with the tokens around them, as many
+as the longest item has, so
 the exact join on the seed and the comparison need no second look at the texts.
 A seed that very many texts share is a hot key of an inner equi join, which
 adaptive execution splits.
@@ -45,7 +46,6 @@ MASKS = ("11111", "110111", "1110011", "1100011001")
 class Rule:
     least_tokens: int = 12
     identity: float = 0.8
-    around: int = 64  # tokens on either side of the hits that are compared
 
 
 #: ASCII signs, cut off the ends of a word.
@@ -121,8 +121,8 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(task, "seed bigint, item bigint, item_place int")
 
 
-def hit_groups(docs: DataFrame, words: np.ndarray, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """(group, doc_id, start, doc_tokens, seeds, places): hits and the tokens around them."""
+def hit_groups(docs: DataFrame, words: np.ndarray, around: int, id_col: str, text_col: str) -> DataFrame:
+    """(group, doc_id, start, doc_tokens, seeds, places): hits and `around` tokens on either side."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
@@ -142,15 +142,15 @@ def hit_groups(docs: DataFrame, words: np.ndarray, rule: Rule, id_col: str, text
         seed = np.concatenate([np.zeros(0, np.uint64), *[x[0] for x in hits]])
         order = np.argsort(at, kind="stable")
         at, seed = at[order], seed[order]
-        apart = (np.diff(at, prepend=-1) > 2 * rule.around) | (np.diff(document[at], prepend=-1) != 0)
+        apart = (np.diff(at, prepend=-1) > 2 * around) | (np.diff(document[at], prepend=-1) != 0)
         cuts = np.flatnonzero(apart)
         ends = np.append(cuts[1:], len(at))[: len(cuts)]
         begin = np.searchsorted(document, np.arange(len(block) + 1))
         rows: list[list] = [[], [], [], [], []]
         for a, b in zip(cuts.tolist(), ends.tolist()):
             own = document[at[a]]
-            low = max(begin[own], at[a] - rule.around)
-            high = min(begin[own + 1], at[b - 1] + 2 * rule.around)
+            low = max(begin[own], at[a] - around)
+            high = min(begin[own + 1], at[b - 1] + around)
             values = (own, low - begin[own], hashes[low:high].view(np.int64), seed[a:b].view(np.int64), at[a:b] - low)
             for column, value in zip(rows, values):
                 column.append(value)
@@ -204,7 +204,8 @@ def contaminated(
     known = stored(read.withColumn("item", F.monotonically_increasing_id()), "items")
     planted = stored(item_seeds(known.select("item", "item_tokens")), "seeds")
     words = bloom(planted.select("seed"))
-    groups = stored(hit_groups(docs, words, rule, id_col, text_col), "hits")
+    longest = known.agg(F.max(F.size("item_tokens"))).first()[0] or 0
+    groups = stored(hit_groups(docs, words, longest, id_col, text_col), "hits")
 
     hits = groups.select("group", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     hits = hits.select("group", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))

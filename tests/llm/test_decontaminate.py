@@ -108,3 +108,18 @@ def test_hard_rows(spark, hard, empty):
     assert decontaminate.contaminated(empty, frame).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(hard, none).collect() == []
+
+
+def test_long_items_are_compared_whole(spark):
+    """An item of 1,000 tokens whose tail differs, and one with a third of its second half substituted."""
+    item = prose(77, 1000).split()
+    tail = item[:760] + [f"new{i}" for i in range(240)]
+    thin = item[:500] + [w if i % 3 else "changed" for i, w in enumerate(item[500:])]
+    docs = [(1, " ".join(["before", *tail, "after"])), (2, " ".join(thin)), (3, " ".join(item[600:]))]
+    items = [(1, " ".join(item)), (2, prose(78, 14))]
+    frames = [
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ]
+    got = as_dict(decontaminate.contaminated(*frames))
+    assert got == plain(docs, items) and got[1, 1][2] == 950 and got[2, 1][2] == 1000
