@@ -32,20 +32,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest id.
 
-    Of an id that is kept and occurs in several rows, one row stays, the first
-    by text; copies of a row meet on the map side.
+    An id of several texts keeps each that is not a copy of another document,
+    one row of it.
     """
-    groups = stored(near_dup.near_duplicates(docs, NEAR), "groups")
-    dropped = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    left = anti_join(docs, stored(dropped, "dropped"), "doc_id")
-    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    again = stored(again.select("doc_id"), "again")
-    if again.isEmpty():
-        return left
-    several = left.join(again, "doc_id", "left_semi").select(*left.columns)
-    first = F.min_by(F.struct(*left.columns), F.struct("text")).alias("_row")
-    one = several.groupBy("doc_id").agg(first).select("_row.*")
-    return anti_join(left, again, "doc_id").union(one)
+    return near_dup.one_of_each(docs, NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
