@@ -1,23 +1,16 @@
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
-import pytest
-
 import __spark_entry__ as entry
 import corpus_pipeline
-from quaestor.llm import decontaminate, language
-from quaestor.llm.textops import blocks
-from tests.llm.conftest import hard_rows
+from quaestor.llm import language, near_dup, secrets
+from quaestor.llm.tokens import encoder
+from tests.llm.conftest import hard_rows, prose
 from tests.llm.test_decontaminate import plain as plain_overlaps
-from tests.llm.test_near_dup import plain as plain_components
+from tests.llm.test_pipeline_links import kept_at
 from tests.llm.test_scans import all_spans
 from tests.oracle import folder
-from quaestor.llm import secrets
-from quaestor.llm.tokens import encoder
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -53,8 +46,7 @@ def test_stages_against_plain_computation(spark):
 
     found = STAGES["near_duplicates"](spark, docs, path)
     assert found.columns == columns
-    components, _ = plain_components([(d, r.text) for d, r in before.items()])
-    assert {r.doc_id for r in found.collect()} == {d for d, c in components.items() if c == d}
+    assert {r.doc_id for r in found.collect()} == kept_at([(d, r.text) for d, r in before.items()], 80)
 
     found = STAGES["decontamination"](spark, docs, path)
     assert found.columns == columns
@@ -96,3 +88,23 @@ def test_hard_rows_and_nothing(spark, hard, empty):
     assert corpus_pipeline.packed(spark, docs, folder()).count() > 0
     assert corpus_pipeline.packed(spark, empty, folder()).collect() == []
     assert len(hard_rows()) == hard.count()
+
+
+def test_no_unique_text_is_lost_under_a_shared_id(spark):
+    """An id with several texts loses those that are copies, and no other; repeated rows become one."""
+    a, b = prose(21, 120), prose(22, 120)
+    near = a + " and more"
+    cases = [
+        ([(3, a), (3, b), (4, near)], {(3, a), (3, b)}, {3: {3}, 4: {3}}),
+        ([(2, a), (3, near), (3, b)], {(2, a), (3, b)}, {2: {2}, 3: {2, 3}}),
+        ([(5, a), (5, a), (5, b), (None, a), (6, None), (6, None)], {(5, a), (5, b), (None, a), (6, None)}, {5: {5}, None: {None}, 6: {6}}),
+    ]
+    for rows, want, components in cases:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        left = [tuple(r) for r in STAGES["near_duplicates"](spark, docs, folder()).collect()]
+        assert sorted(left, key=str) == sorted(want, key=str)
+        got = defaultdict(set)
+        for r in near_dup.near_duplicates(docs).collect():
+            got[r.doc_id].add(r.component_id)
+            assert r.kept == (r.doc_id == r.component_id)
+        assert dict(got) == components
