@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text as tx
 from quaestor.functions import vectors as vx
 from quaestor.functions.embedding import hashed_words
+from quaestor.functions.stemming import stems_sql
 from quaestor.operators import chunking as ck
 from quaestor.operators import search as se
+from quaestor.operators import text_store
 from quaestor.operators.memo import memoize
 from quaestor.plans.registry import documents, query, table
+from quaestor.session import shared_folder
 
 WORDS_SQL = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 
@@ -216,6 +221,39 @@ def _search(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     return se.text_search(asked, documents(spark, folder, "text"), mode=mode, id_col="doc_id")
 
 
+STEMS_SQL = """WITH words AS (SELECT doc_id,
+  unnest(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')) AS token FROM documents),
+asked AS (SELECT item_id AS query_id,
+  unnest(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')) AS token FROM benchmark),
+tokens AS (SELECT DISTINCT token FROM (SELECT token FROM words UNION ALL SELECT token FROM asked)
+  WHERE token NOT IN ('', %s)),
+stems AS (%s),
+idx AS (SELECT stem, doc_id, count(*) AS tf FROM words JOIN stems USING (token) GROUP BY stem, doc_id),
+df AS (SELECT stem, count(*) AS df FROM idx GROUP BY stem),
+terms AS (SELECT DISTINCT query_id, stem FROM asked JOIN stems USING (token)),
+scored AS (SELECT query_id, doc_id, count(*) AS matched,
+  round(sum(tf * ln((SELECT count(*)::DOUBLE FROM documents) / df)), 6) AS score
+  FROM terms JOIN idx USING (stem) JOIN df USING (stem) GROUP BY query_id, doc_id)
+""" % (", ".join(f"'{w}'" for w in se.STOP_WORDS), stems_sql("tokens"))
+
+
+# The index is written once per call and then searched for all questions.
+@query(
+    "text_search_stemmed",
+    f"""{STEMS_SQL}
+SELECT query_id, doc_id, matched, score,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+FROM scored QUALIFY rank <= 10""",
+)
+def text_search_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    text_store.write_index(documents(spark, folder, "text"), path, id_col="doc_id")
+    asked = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("question")
+    )
+    return text_store.search_index(spark, path, asked, id_col="doc_id")
+
+
 EMBED_DIM = 16
 
 
