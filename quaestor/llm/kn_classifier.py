@@ -276,7 +276,9 @@ def classify(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     ids = trusted_ids.toDF("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    trusted = semi_join(own.select("doc_id", "text"), stored(ids, "trusted"), "doc_id")
+    # Trusted texts move once, by one plan whatever their number, and are read twice.
+    trusted = semi_join(own.select("doc_id", "text"), stored(ids, "trusted").hint("merge"), "doc_id")
+    trusted = stored(trusted, "trusted_texts")
     model = kneser_ney.fit(kneser_ney.gram_counts(trusted, order), order)
     every = stored(kneser_ney.gram_counts(own, order).select("gram"), "grams")
     p = stored(kneser_ney.probabilities(every, model), "probabilities")
