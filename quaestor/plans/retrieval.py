@@ -13,6 +13,7 @@ from quaestor.functions import text as tx
 from quaestor.functions import vectors as vx
 from quaestor.operators import knn as nn
 from quaestor.operators import retrieval as rt
+from quaestor.operators import vector_index
 from quaestor.operators.chunking import chunk_fixed
 from quaestor.operators.ingest import vector_positions
 from quaestor.operators.search import select_snippets
@@ -134,6 +135,33 @@ def ivf_knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return ivf(spark, folder, "cosine")
 
 
+# Every twentieth row asks for its ten nearest of all rows. Half of the rows are
+# in the index when it is trained, the others are appended.
+@query(
+    "ivf_recall",
+    """SELECT count(*) AS indexed, count(*) FILTER (vec_id % 20 = 0) AS questions,
+       10 * count(*) FILTER (vec_id % 20 = 0) AS neighbours, true AS enough FROM embeddings""",
+)
+def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of a trained, appended index against the exact neighbours; 0.9 is enough."""
+    rows = cm.chunk_vectors(spark, folder).select("chunk_id", "embedding")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build(rows.filter("chunk_id % 2 = 0"), path, lists=32, largest=20_000)
+    vector_index.append(rows.filter("chunk_id % 2 = 1"), path)
+    asked = rows.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = vector_index.search(spark, path, asked, 10, probes=16)
+    recall = nn.recall_at_k(found, nn.knn(asked, rows, 10))
+    indexed = spark.read.parquet(f"{path}/cells").agg(F.count("*").alias("indexed"))
+    return recall.agg(
+        F.count("*").alias("questions"),
+        (10 * F.count("*")).alias("neighbours"),
+        (F.avg("recall") >= 0.9).alias("enough"),
+        F.lit(indexed.first().indexed).alias("indexed"),
+    )
+
+
+
+
 @query(
     "l2_normalize",
     """WITH v AS (
