@@ -354,10 +354,11 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     """`near_duplicates` with the keys of each row's set (n_shingles, set_a, set_b)."""
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     takes_part = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # Equal sets have equal registers.
-    one = takes_part.groupBy(*KEYS).agg(F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"))
+    one = takes_part.groupBy(*KEYS).agg(F.min("doc_id").alias("doc_id"))
     sets = stored(one.withColumn("node", F.monotonically_increasing_id()), "sets")
-    nodes = sets.select("node", "n_shingles", "registers")
+    # Equal sets have equal registers.
+    nodes = takes_part.join(sets, ["doc_id", *KEYS]).select("node", "n_shingles", "registers").distinct()
+    nodes = stored(nodes, "nodes")
 
     bands = _bands(nodes, rule.band_rows)
     leaders = (

@@ -158,9 +158,14 @@ def windows(hashes: np.ndarray, document: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def map_blocks(batches: Iterator[pa.RecordBatch], text: int, make) -> Iterator[pa.RecordBatch]:
-    """Apply `make(batch, block)` to each block of each batch."""
+    """Apply `make(batch, block)` to each block of each batch.
+
+    A worker serves task after task, so what a batch leaves free goes back to
+    the system before the next one.
+    """
     for batch in batches:
         for block in blocks(batch.column(text)):
             out = make(batch, block)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
