@@ -23,8 +23,22 @@ from quaestor.session import shared_folder
 NEAR = near_dup.Rule(percent=80, band_rows=6)
 
 
+#: Rows of an Arrow batch. Ten thousand texts, the default, are 20 MB and more, held
+#: several times over by each task and its worker.
+ARROW_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Keep to smaller batches from here on; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the string kernel tells; the rest go."""
+    _small_batches(spark)
     model = language.fit(language.sample_of(docs))
     return language.keep_identified(docs, model)
 
@@ -35,6 +49,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     An id of several texts keeps each that is not a copy of another document,
     one row of it.
     """
+    _small_batches(spark)
     return near_dup.one_of_each(docs, NEAR)
 
 
@@ -43,6 +58,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A row without an id cannot be named by its overlap and stays.
     """
+    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.contaminated(docs, items).select("doc_id").distinct()
     return anti_join(docs, stored(found, "contaminated"), "doc_id")
@@ -50,6 +66,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret replaced by its kind; `n_chars` follows."""
+    _small_batches(spark)
     clean = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -59,6 +76,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 
