@@ -6,9 +6,15 @@ joined by single blanks. Each names the keywords that its matches contain; a
 document's words are looked up among all keywords, by hash and for a block of
 documents at once, and only rules whose keywords a document holds run on it.
 
-Detections are taken by priority (identifiers, then notices, names and links),
-the longer and the earlier first, and one that lies inside an interval already
-taken is suppressed. The base phrases are found apart, at every place where
+There are two kinds. Named forms are six ways of stating a license times the
+names of 62; the signatures of `license_texts`, written one by one, know
+passages of the texts themselves, file headers and addresses, so that a license
+needs no name to be found.
+
+Detections are taken by priority (identifiers, then passages, notices, names and
+addresses), the longer and the earlier first, and one that lies inside an
+interval already taken is suppressed. All of it takes time in proportion to a
+text and its detections. The base phrases are found apart, at every place where
 their words stand in a row, and their labels always stay.
 
 The score is that of the surest detection left, 0 without any. Null and empty
@@ -19,6 +25,7 @@ empty table gives no rows. Only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.license_texts import BODIES, GAP_WORDS, LINKS
 from quaestor.llm.textops import LOWER, Block, hash_runs, map_blocks
 
 #: The base phrases and their labels.
@@ -129,21 +137,44 @@ class Rule:
     pattern: re.Pattern
     keywords: tuple[str, ...]
     score: float
+    priority: int  # the smallest is taken first
+
+
+BODY_SCORE, LINK_SCORE = 0.95, 0.75
+_BODY_PRIORITY = 1
+
+
+def _compiled(text: str) -> re.Pattern:
+    # The blank in front, which each word has, lets most places fail at once.
+    return re.compile(rf" {text}(?![^ ])")
 
 
 @lru_cache(maxsize=1)
 def signature_rules() -> tuple[Rule, ...]:
     """All families in all forms, the first form first."""
     rules = []
-    for form, keywords, score in FORMS:
+    for priority, (form, keywords, score) in enumerate(FORMS):
         for label, name, keyword, identifier in FAMILIES:
             text = form.format(n=f"(?:{name})", i=f"(?:{identifier})")
             # The identifier doesn't hold the name's keyword.
             needs = keywords if "{i}" in form else (*keywords, keyword)
-            rules.append(Rule(label, re.compile(rf"(?<![^ ]){text}(?![^ ])"), needs, score))
+            priority_ = priority + (priority >= _BODY_PRIORITY)
+            rules.append(Rule(label, _compiled(text), needs, score, priority_))
     return tuple(rules)
 
 
+@lru_cache(maxsize=1)
+def written_rules() -> tuple[Rule, ...]:
+    """The signatures of passages and addresses."""
+    gap = f"(?: [^ ]+){{0,{GAP_WORDS}}}? "
+    kinds = ((BODIES, BODY_SCORE, _BODY_PRIORITY), (LINKS, LINK_SCORE, len(FORMS) + 1))
+    return tuple(
+        Rule(label, _compiled(text.replace(" ... ", gap)), keywords, score, priority)
+        for table, score, priority in kinds
+        for label, text, keywords in table
+    )
+
+
 #: Two-name families whose names share no word: any of these is the keyword.
 _ALTERNATIVES = {
     "by": ("by", "commons"),
@@ -156,6 +187,7 @@ _ALTERNATIVES = {
     "proprietary": ("proprietary", "commercial", "end"),
     "license": ("license", "licence"),
     "licensed": ("licensed", "licenced"),
+    "copyleft": ("copyleft", "lgpl", "lesser"),
 }
 
 WORD = np.ones(256, bool)
@@ -172,7 +204,8 @@ def _word_hash(word: str) -> np.uint64:
 class Scanner:
     def __init__(self):
         self.rules = signature_rules()
-        named = sorted({k for r in self.rules for k in r.keywords})
+        self.every = (*written_rules(), *self.rules)
+        named = sorted({k for r in self.every for k in r.keywords})
         spelled = [(w, i) for i, k in enumerate(named) for w in _ALTERNATIVES.get(k, (k,))]
         hashes = np.array([_word_hash(w) for w, _ in spelled], np.uint64)
         order = np.argsort(hashes)
@@ -186,7 +219,7 @@ class Scanner:
         # Most words fail here, by 16 bits of their hash.
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.unique & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.needs = [sum(1 << named.index(k) for k in set(r.keywords)) for r in self.rules]
+        self.needs = [sum(1 << named.index(k) for k in set(r.keywords)) for r in self.every]
         self.phrases = [[_word_hash(w) for w in p.split()] for p, _ in BASE_PHRASES]
 
     def keywords(self, hashes: np.ndarray, document: np.ndarray, n: int) -> list[int]:
@@ -223,21 +256,44 @@ class Scanner:
         fetched = self.fetched(held)
         if not fetched:
             return []
-        joined = b" ".join(_WORDS.findall(text)).decode("utf-8", "replace")
-        found = []
+        joined = b" ".join([b"", *_WORDS.findall(text)]).decode("utf-8", "replace")
+        blanks, found = None, []
         for order in fetched:
-            rule = self.rules[order]
-            for match in rule.pattern.finditer(joined):
-                start = joined.count(" ", 0, match.start())
-                end = start + match.group().count(" ") + 1
-                found.append((order // len(FAMILIES), start - end, start, order, end, rule))
+            rule = self.every[order]
+            spans = [match.span() for match in rule.pattern.finditer(joined)]
+            if not spans:
+                continue
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+            for start, end in np.searchsorted(blanks, spans).tolist():
+                found.append((rule.priority, start - end, start, order, end, rule))
+        covered = Intervals()
         taken: list[tuple[int, int, str, float]] = []
         for _, _, start, _, end, rule in sorted(found, key=lambda f: f[:4]):
-            if not any(a <= start and end <= b for a, b, _, _ in taken):
+            if covered.add(start, end):
                 taken.append((start, end, rule.label, rule.score))
         return sorted(taken)
 
 
+class Intervals:
+    """Those that lie in no other, by their starts, so that their ends ascend too."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Add an interval; false if it lies inside one that is there."""
+        after = bisect_right(self.starts, start)
+        if after and self.ends[after - 1] >= end:
+            return False
+        first = after - 1 if after and self.starts[after - 1] == start else after
+        last = bisect_right(self.ends, end)
+        self.starts[first : max(first, last)] = [start]
+        self.ends[first : max(first, last)] = [end]
+        return True
+
+
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     return Scanner()
