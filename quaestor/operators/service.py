@@ -299,6 +299,31 @@ def alert_for(
     )
 
 
+def with_silences(
+    evaluations: DataFrame, value: str, step_seconds: int = 30, series: Sequence[str] = (), ts: str = "window_start"
+) -> DataFrame:
+    """(*series, ts, value) with a row without a value where a series falls silent.
+
+    That is the first step without an evaluation: between two evaluations, and
+    after the last one if any series goes on so long. An alert is resolved there
+    instead of keeping its last state. Rows without a moment are left out, and
+    repeated moments of a series give one silence at most.
+    """
+    rows = evaluations.select(*series, ts, value).filter(F.col(ts).isNotNull())
+    # As text, so that a time without a zone stays one.
+    latest = rows.agg(F.max(ts).cast("string")).first()[0]
+    until = F.lit(latest).cast(rows.schema[ts].dataType)
+    missing = F.col(ts) + F.make_dt_interval(secs=F.lit(step_seconds))
+    following = F.lead(ts).over(Window.partitionBy(*series).orderBy(ts))
+    silent = F.when(following.isNull(), missing <= until).otherwise(following > missing)
+    none = F.lit(None).cast(rows.schema[value].dataType)
+    moments = F.array(
+        F.struct(F.col(ts).alias(ts), F.col(value).alias(value)),
+        F.when(F.col("_silent"), F.struct(missing.alias(ts), none.alias(value))),
+    )
+    return rows.withColumn("_silent", silent).select(*series, F.inline(F.array_compact(moments)))
+
+
 def canary_assign(requests: DataFrame, key: str, weight: int = 10) -> DataFrame:
     """Send `weight` percent of the keys to the canary, always the same ones."""
     digest = F.substring(F.md5(F.col(key).cast("string")), 1, 8)

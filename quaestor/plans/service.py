@@ -264,6 +264,33 @@ def alert_for(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "alert_silence",
+    f"""WITH {WINDOWS_SQL},
+means AS (SELECT endpoint AS series, window_start, avg(latency_s) AS value FROM windows GROUP BY ALL),
+nexts AS (SELECT *, lead(window_start) OVER (PARTITION BY series ORDER BY window_start) AS following FROM means),
+filled AS (SELECT series, window_start, value FROM means UNION ALL
+  SELECT series, window_start + 1800, NULL FROM nexts
+  WHERE CASE WHEN following IS NULL THEN window_start + 1800 <= (SELECT max(window_start) FROM means) ELSE following > window_start + 1800 END),
+active AS (SELECT series, window_start, coalesce(value > 1.5, false) AS active,
+  lag(coalesce(value > 1.5, false)) OVER (PARTITION BY series ORDER BY window_start) AS was,
+  window_start - lag(window_start) OVER (PARTITION BY series ORDER BY window_start) AS gap FROM filled),
+since AS (SELECT *, max(CASE WHEN active AND (NOT coalesce(was, false) OR coalesce(gap > 1800, true)) THEN window_start END)
+  OVER (PARTITION BY series ORDER BY window_start ROWS UNBOUNDED PRECEDING) AS since FROM active)
+SELECT series, window_start, CASE WHEN NOT active THEN 'inactive' WHEN window_start - since >= 3600 THEN 'firing' ELSE 'pending' END AS state,
+  CASE WHEN active THEN since END AS active_since FROM since""",
+)
+def alert_silence(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean latency of each endpoint above 1.5 s for an hour; silence resolves."""
+    stages = requests(spark, folder).withColumnRenamed("endpoint", "series")
+    means = sv.stage_latency(stages, SPAN, STEP, "series")
+    filled = sv.with_silences(means, "mean_latency_s", STEP_S, ["series"])
+    states = sv.alert_for(filled, F.col("mean_latency_s") > 1.5, 2 * STEP_S, STEP_S, ["series"])
+    return _start(states).select(
+        "series", "window_start", "state", epoch_seconds(F.col("active_since")).alias("active_since")
+    )
+
+
 ARMS_SQL = (
     REQUESTS_SQL
     + """,

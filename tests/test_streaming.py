@@ -119,6 +119,53 @@ def test_alert_stream_leaves_late_rows_out(spark, tmp_path):
     assert got == [(0, "pending", 0), (60, "pending", 0), (120, "firing", 0), (180, "inactive", -1), (240, "pending", 240)]
 
 
+def test_alert_stream_resolves_silent_series(spark, tmp_path):
+    """One series goes on, one pauses and returns, one falls silent for good."""
+    moments = {
+        "steady": range(0, 3000, 60),
+        "paused": [*range(0, 600, 60), *range(1500, 3000, 60)],
+        "short": [*range(0, 600, 60), *range(720, 3000, 60)],
+        "gone": range(0, 900, 60),
+        "calm": range(0, 300, 60),
+    }
+    schema = "series string, at long, value double"
+    begin = 600_000
+    every = [(s, begin + at, 0.0 if s == "calm" else 9.0) for s, times in moments.items() for at in times]
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for low in range(begin, begin + 3000, 600):
+        part = [r for r in every if low <= r[1] < low + 600]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        states = alert_stream(file_stream(spark, source, schema, 1), 1.0, 300, 60, late=60)
+        writer = states.writeStream.format("parquet").option("path", target).outputMode("append")
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    table = spark.createDataFrame(every, schema).withColumn("window_start", F.timestamp_seconds("at"))
+    filled = sv.with_silences(table, "value", 60, ["series"])
+    want = sv.alert_for(filled, F.col("value") > 1.0, 300, 60, ["series"])
+    got = spark.read.parquet(target)
+    plain = lambda c: F.coalesce(c, F.lit(-1))
+    assert rows(got, "series", "at", "state", plain(F.col("active_since"))) == rows(
+        want, "series", epoch_seconds(F.col("window_start")), "state", plain(epoch_seconds(F.col("active_since")))
+    )
+    ended = {r.series: (r.at, r.state) for r in got.orderBy("at").collect()}
+    assert ended["gone"] == (begin + 900, "inactive") and ended["calm"] == (begin + 300, "inactive")
+    assert ended["steady"] == (begin + 2940, "firing")
+    resolved = {(r.series, r.at - begin) for r in got.filter("state = 'inactive' and series != 'calm'").collect()}
+    assert resolved == {("paused", 600), ("short", 600), ("gone", 900)}
+
+
+def test_silences_of_empty_and_odd_rows(spark):
+    schema = "series string, window_start timestamp_ntz, value double"
+    assert sv.with_silences(spark.createDataFrame([], schema), "value", 60, ["series"]).collect() == []
+    table = spark.sql("""SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-01 00:00:00', 1.0D),
+        ('a', TIMESTAMP_NTZ '2024-01-01 00:00:00', 1.0D), (NULL, TIMESTAMP_NTZ '2024-01-01 00:02:00', NULL),
+        ('a', NULL, 3.0D) AS t(series, window_start, value)""")
+    got = sv.with_silences(table, "value", 60, ["series"])
+    assert got.schema["window_start"].dataType.simpleString() == "timestamp_ntz"
+    assert sorted((str(r.series), r.window_start.minute, r.value is None) for r in got.collect()) == [
+        ("None", 2, True), ("a", 0, False), ("a", 0, False), ("a", 1, True),
+    ]
+
+
 def test_cache_stream_matches_batch(spark, tmp_path):
     log = events(spark).select(
         F.col("event_id").alias("request_id"),
