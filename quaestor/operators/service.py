@@ -6,8 +6,10 @@ cost_usd; `ts` may be with or without zone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,25 @@ def cache_hit_rate(requests: DataFrame, by: Sequence[str] = ("cache_type",)) ->
     )
 
 
+def _slid(
+    rows: DataFrame, span: str, step: str, by: Sequence[str], sums: Mapping[str, Column]
+) -> DataFrame:
+    """(_window, *by, sums) of sliding windows of `ts`.
+
+    Rows are summed up per pane, the longest stretch that every window has whole
+    or not at all; only the panes are copied to the windows that hold them.
+    """
+    widths = [pd.Timedelta(t) // pd.Timedelta(microseconds=1) for t in (span, step)]
+    pane = F.window("ts", f"{math.gcd(*widths)} microseconds").alias("_pane")
+    panes = rows.groupBy(pane, *by).agg(*[c.alias(name) for name, c in sums.items()])
+    window = F.window(F.window_time("_pane"), span, step).alias("_window")
+    return panes.groupBy(window, *by).agg(*[F.sum(name).alias(name) for name in sums])
+
+
+def _mean(total: str, n: str) -> Column:
+    return F.try_divide(F.col(total), F.col(n))
+
+
 def window_rates(
     requests: DataFrame,
     span: str = "5 minutes",
@@ -142,13 +163,14 @@ def window_rates(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Sliding windows with requests, errors, mean latency and queries per second."""
-    window = F.window("ts", span, step)
     status = F.coalesce("status", F.lit(500))
-    counted = requests.groupBy(window.alias("_window"), *by).agg(
-        F.count("*").alias("requests"),
-        F.count_if(is_error(status)).alias("errors"),
-        F.avg("latency_s").alias("mean_latency_s"),
-    )
+    sums = {
+        "requests": F.count("*"),
+        "errors": F.count_if(is_error(status)),
+        "_latency": F.sum("latency_s"),
+        "_timed": F.count("latency_s"),
+    }
+    counted = _slid(requests, span, step, by, sums).withColumn("mean_latency_s", _mean("_latency", "_timed"))
     seconds = F.timestamp_diff("SECOND", F.col("_window.start"), F.col("_window.end"))
     return counted.select(
         F.col("_window.start").alias("window_start"),
@@ -166,10 +188,12 @@ def stage_latency(
     stages: DataFrame, span: str = "5 minutes", step: str = "30 seconds", stage: str = "stage"
 ) -> DataFrame:
     """Mean latency per window and stage: the rate of the sum over that of the count."""
-    return (
-        stages.groupBy(F.window("ts", span, step).alias("_window"), stage)
-        .agg(F.avg("latency_s").alias("mean_latency_s"), F.count("*").alias("observations"))
-        .select(F.col("_window.start").alias("window_start"), stage, "mean_latency_s", "observations")
+    sums = {"observations": F.count("*"), "_latency": F.sum("latency_s"), "_timed": F.count("latency_s")}
+    return _slid(stages, span, step, [stage], sums).select(
+        F.col("_window.start").alias("window_start"),
+        stage,
+        _mean("_latency", "_timed").alias("mean_latency_s"),
+        "observations",
     )
 
 
@@ -189,10 +213,9 @@ def counter_increase(
     delta = F.when(F.col("value") < F.col("_before"), F.col("value")).otherwise(
         F.col("value") - F.col("_before")
     )
-    return (
-        steps.groupBy(F.window("ts", span, step).alias("_window"), *series)
-        .agg(F.sum(F.coalesce(delta, F.lit(0.0))).alias("increase"), F.count("*").alias("samples"))
-        .select(F.col("_window.start").alias("window_start"), *series, "increase", "samples")
+    sums = {"increase": F.sum(F.coalesce(delta, F.lit(0.0))), "samples": F.count("*")}
+    return _slid(steps, span, step, series, sums).select(
+        F.col("_window.start").alias("window_start"), *series, "increase", "samples"
     )
 
 
