@@ -171,26 +171,24 @@ def test_panes_give_the_windows_of_the_rows(spark, span, step, kind):
         F.when(F.col("id") % 3 != 0, F.lit("a")).alias("part"),
     )
     log = log.unionByName(log.limit(3).withColumn("ts", F.lit(None).cast(kind)))
-    got = sv.window_rates(log, span, step, ["part"])
+    got = sv.stage_latency(log, span, step, "part")
     want = log.groupBy(F.window("ts", span, step).alias("w"), "part").agg(
-        F.count("*").alias("requests"),
-        F.count_if(F.coalesce("status", F.lit(500)) == 500).alias("errors"),
-        F.avg("latency_s").alias("mean_latency_s"),
+        F.count("*").alias("observations"), F.avg("latency_s").alias("mean_latency_s")
     )
     key = lambda r: tuple(str(x) for x in r)
-    columns = ["part", "requests", "errors", F.round("mean_latency_s", 9)]
-    assert sorted(got.select("window_start", "window_end", *columns).collect(), key=key) == sorted(
-        want.select("w.start", "w.end", *columns).collect(), key=key
+    columns = ["part", "observations", F.round("mean_latency_s", 9)]
+    assert sorted(got.select("window_start", *columns).collect(), key=key) == sorted(
+        want.select("w.start", *columns).collect(), key=key
     )
-    assert sv.window_rates(log.limit(0), span, step, ["part"]).collect() == []
+    assert sv.stage_latency(log.limit(0), span, step, "part").collect() == []
 
 
 def test_rows_are_not_copied_to_windows(spark):
     """Only sums of panes reach the step that makes several windows of one."""
     log = spark.range(1000).select(
-        F.timestamp_seconds("id").alias("ts"), F.lit(200).alias("status"), F.lit(1.0).alias("latency_s")
+        F.timestamp_seconds("id").alias("ts"), F.lit("s").alias("stage"), F.lit(1.0).alias("latency_s")
     )
-    plan = sv.window_rates(log)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    plan = sv.stage_latency(log)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     copies = [i for i, line in enumerate(plan) if "Expand" in line or "Generate" in line]
     sums = [i for i, line in enumerate(plan) if "Aggregate" in line]
     assert copies and len(sums) == 2 and sums[0] < min(copies) and max(copies) < sums[1]
