@@ -211,25 +211,33 @@ def contaminated(
     hits = hits.select("group", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     diagonal = (F.col("place") - F.col("item_place")).alias("diagonal")
     laid = stored(hits.join(planted, "seed").select("group", "item", diagonal).distinct(), "diagonals")
+    # Only what the item covers of the text, however long, goes to the comparison.
+    low = F.greatest("diagonal", F.lit(0))
+    n = F.least(F.size("doc_tokens"), F.col("diagonal") + F.size("item_tokens")) - low
     compared = (
-        laid.join(groups.select("group", "doc_id", "start", "doc_tokens"), "group")
-        .join(known, "item")
-        .select("doc_id", "item_id", "start", "diagonal", "doc_tokens", "item_tokens")
+        laid.join(known, "item")
+        .join(groups.select("group", "doc_id", "start", "doc_tokens"), "group")
+        .select(
+            "doc_id",
+            "item_id",
+            (F.col("start") + low).alias("doc_start"),
+            (low - F.col("diagonal")).alias("item_start"),
+            F.slice("doc_tokens", (low + 1).cast("int"), n.cast("int")).alias("doc_tokens"),
+            F.slice("item_tokens", (low - F.col("diagonal") + 1).cast("int"), n.cast("int")).alias("item_tokens"),
+        )
     )
     kinds = [known.schema["item_id"].dataType.simpleString(), groups.schema["doc_id"].dataType.simpleString()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            starts, diagonals = (batch.column(i).to_numpy() for i in (2, 3))
+            starts, item_starts = (batch.column(c).to_numpy() for c in (2, 3))
             for i in range(len(batch)):
                 text, item = (batch.column(c)[i].values.to_numpy() for c in (4, 5))
-                d = int(diagonals[i])
-                a, b = max(d, 0), min(len(text), d + len(item))
-                equal = text[a:b] == item[a - d : b - d]
+                equal = text == item
                 s, e = overlap(equal, rule.identity)
                 if e - s >= rule.least_tokens:
-                    found.append((i, starts[i] + a + s, a - d + s, e - s, int(equal[s:e].sum())))
+                    found.append((i, starts[i] + s, item_starts[i] + s, e - s, int(equal[s:e].sum())))
             rows = pa.array([f[0] for f in found], pa.int64())
             columns = [batch.column(c).take(rows) for c in (0, 1)]
             columns += [pa.array([f[j] for f in found], pa.int64()) for j in range(1, 5)]
