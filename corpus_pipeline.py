@@ -23,17 +23,21 @@ from quaestor.session import shared_folder
 NEAR = near_dup.Rule(percent=80, band_rows=6)
 
 
-#: Rows of an Arrow batch. Ten thousand texts, the default, are 20 MB and more, held
-#: several times over by each task and its worker.
+#: Rows and bytes of an Arrow batch. Ten thousand texts, the default, are 20 MB and
+#: more, held several times over by each task and its worker; a thousand long ones
+#: are more than that. A longer text is a batch of its own.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Keep to smaller batches from here on; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    if not 0 < rows <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Keep to smaller batches from here on; smaller settings stay."""
+    for what, most in (("Records", ARROW_ROWS), ("Bytes", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.max{what}PerBatch"
+        # Spark gives a default size in bytes; one with another unit was set on purpose.
+        value = spark.conf.get(name).removesuffix("b")
+        if value.lstrip("-").isdigit() and not 0 < int(value) <= most:
+            spark.conf.set(name, str(most))
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
