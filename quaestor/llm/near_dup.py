@@ -9,7 +9,8 @@ by a fixed random table, so small sets fill all registers too.
 1. Rows of equal sets are one node, with a number of its own; only nodes go on.
    A component is named after the smallest id among its rows at the very end.
 2. Registers are banded, by seven unless the rule says otherwise. Nodes that
-   share a band are compared with the smallest node of it, not with each other.
+   share a band are compared with one node of it, not with each other: the one
+   that meets others most often, as copies lie nearer to a middle than to a rim.
 3. The estimate of the similarity, corrected for the chance that two different
    minima compress to the same register, discards candidates that lie more than
    five standard errors below the threshold; what is left is confirmed on the
@@ -187,6 +188,17 @@ def _bands(nodes: DataFrame, band_rows: int) -> DataFrame:
     return nodes.mapInArrow(task, f"band bigint, node {kind}, n_shingles bigint")
 
 
+def _leaders(shared: DataFrame) -> DataFrame:
+    """(band, leader): of each band the node that meets others most often over all its bands.
+
+    A copy with few edits of its own keeps the bands of the text that the others
+    were made from, so it is near most of them; ties go to the smallest node.
+    """
+    met = shared.groupBy("node").agg(F.sum("_held").alias("_met"))
+    central = F.struct("_met", -F.col("node"))
+    return shared.join(met, "node").groupBy("band").agg(F.max_by("node", central).alias("leader"))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """The registers of a batch, one row each."""
     flat = b"".join(column.to_pylist())
@@ -361,17 +373,14 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
     nodes = stored(nodes, "nodes")
 
     bands = _bands(nodes, rule.band_rows)
-    leaders = (
-        bands.groupBy("band")
-        .agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
-        .filter(F.col("leader") != F.col("_last"))
-        .drop("_last")
-    )
-    shared = stored(bands.join(leaders, "band"), "bands")
+    held = bands.groupBy("band").agg(F.count("*").alias("_held")).filter(F.col("_held") > 1)
+    shared = stored(bands.join(held, "band"), "bands")
+    leaders = _leaders(shared)
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pairs = (
-        shared.filter(F.col("node") != F.col("leader"))
+        shared.join(leaders, "band")
+        .filter(F.col("node") != F.col("leader"))
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
