@@ -183,3 +183,44 @@ def test_rare_stems_close_most_blocks(spark, tmp_path):
     df = spark.createDataFrame([(1, "zebra common")], "query_id long, question string")
     got = [r.chunk_id for r in text_store.search_index(spark, str(tmp_path), df, 5).collect()]
     assert sorted(got) == [i for i in range(20_000) if i % 997 == 0][:5]
+
+
+def test_each_token_is_stemmed_once(spark, tmp_path, monkeypatch):
+    """Stemming is the dear step: its rows are the different tokens, not each text's."""
+    asked = []
+    monkeypatch.setattr(text_store, "with_stems", lambda df: (asked.append(df.count()), with_stems(df))[1])
+    rows = [(i, "hopes hoped hoping the adoption") for i in range(400)]
+    text_store.write_index(spark.createDataFrame(rows, "chunk_id long, text string").repartition(4), str(tmp_path))
+    assert asked == [4]
+
+
+def test_null_and_repeated_ids_over_small_batches(spark, tmp_path):
+    """Texts of one id count as one, a null id is an id, wherever batches end."""
+    rng = random.Random(11)
+    words = ["hope", "hopes", "hoping", "zebra", "zebras", "adoption", "caress"]
+    texts = [(rng.choice([None, *range(160)]), " ".join(rng.choices(words, k=rng.randint(1, 9)))) for _ in range(700)]
+    path, size = str(tmp_path), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        text_store.write_index(spark.createDataFrame(texts, "chunk_id long, text string").repartition(5), path, buckets=4)
+        questions = spark.createDataFrame([(q, " ".join(words[q : q + 3])) for q in range(5)], "query_id long, question string")
+        got = {(r.query_id, r.chunk_id): r for r in text_store.search_index(spark, path, questions, 500, buckets=4, block=2).collect()}
+    finally:
+        spark.conf.set(size, before)
+    held = defaultdict(Counter)
+    for i, t in texts:
+        held[i].update(porter2(w) for w in t.split())
+    df = Counter(s for c in held.values() for s in c)
+    want = {}
+    for q in range(5):
+        for i, c in held.items():
+            both = {porter2(w) for w in words[q : q + 3]} & set(c)
+            if both:
+                want[q, i] = (len(both), pytest.approx(sum(c[s] * math.log(len(texts) / df[s]) for s in both), abs=2e-6))
+    assert any(i is None for _, i in want)
+    assert {key: (r.matched, r.score) for key, r in got.items()} == want
+    stored = spark.read.parquet(f"{path}/blocks").collect()
+    assert max(Counter((r.stem, i) for r in stored for i in r.ids).values()) == 1
+    best = {(r.query_id, r.chunk_id): r["rank"] for r in text_store.search_index(spark, path, questions, 3, buckets=4).collect()}
+    assert best == {key: r["rank"] for key, r in got.items() if r["rank"] <= 3}
