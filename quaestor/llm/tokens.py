@@ -4,7 +4,7 @@ The tokenizers library splits a text into pieces (a word with the blank before
 it, a number, a run of signs, white space) and encodes each piece on its own.
 Texts repeat pieces, so a block is split with array operations and only its
 distinct new pieces go through the library; a bounded table keeps them for the
-worker's next blocks. Texts that hold one of the vocabulary's added tokens go
+worker's next blocks, and the commoner half of them when it is full. Texts that hold one of the vocabulary's added tokens go
 through the library whole. The tests hold the ids against the library's own.
 """
 
@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
 from quaestor.llm.textops import Block, hash_runs
@@ -23,7 +24,7 @@ from quaestor.llm.textops import Block, hash_runs
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 
-#: Pieces that a worker keeps; beyond, it starts anew.
+#: Pieces that a worker keeps; beyond, it keeps the half that came up in most blocks.
 KEPT_PIECES = 500_000
 
 #: Pieces that the library gets at once.
@@ -65,8 +66,25 @@ class Encoder:
         self.number = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
+        # In how many blocks the piece of each number came up; halved with the table.
+        self.hits = np.zeros(1 << 14, np.int32)
         self.used = 0
 
+    def _forget_rare(self, wanted: int) -> None:
+        """Make room for `wanted` pieces."""
+        if wanted > KEPT_PIECES // 2:
+            self._forget()
+            return
+        rows = np.sort(np.argsort(-self.hits[self.number], kind="stable")[: KEPT_PIECES // 2])
+        old = self.number[rows]
+        self.known, self.number = self.known[rows], np.arange(len(rows), dtype=np.int32)
+        length = self.begin[old + 1] - self.begin[old]
+        stop = np.cumsum(length)
+        self.used = int(stop[-1]) if len(stop) else 0
+        self.flat[: self.used] = self.flat[np.repeat(self.begin[old] - (stop - length), length) + np.arange(self.used)]
+        self.begin[1 : len(rows) + 1] = stop
+        self.hits[: len(rows)] = self.hits[old] // 2
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
@@ -92,20 +110,28 @@ class Encoder:
         starts = split(points, offsets)
         ends = np.append(starts[1:], len(points))
         hashes = hash_runs(block.data, at_byte[starts], at_byte[ends])
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > KEPT_PIECES:
-            self._forget()
-        at = np.searchsorted(self.known, unique)
-        held = np.zeros(len(unique), bool)
-        inside = at < len(self.known)
-        held[inside] = self.known[at[inside]] == unique[inside]
+        coded = pa.array(hashes).dictionary_encode()
+        inverse, unique = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        order = np.argsort(unique)
+        unique = unique[order]
+        at, held = self._find(unique)
+        missing = len(unique) - int(held.sum())
+        if len(self.known) + missing > KEPT_PIECES:
+            self._forget_rare(missing)
+            at, held = self._find(unique)
         new = np.flatnonzero(~held)
         if len(new):
-            raw = [texts[starts[i] : ends[i]] for i in first[new]]
-            numbers = self._learn(self._library_ids(raw))
+            # Codes are dealt in reading order, so a new one is larger than all before it.
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))[order[new]]
+            raw = [texts[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            numbers = self._learn(*self._library_ids(raw))
             self.known = np.insert(self.known, at[new], unique[new])
             self.number = np.insert(self.number, at[new], numbers)
-        place = self.number[np.searchsorted(self.known, unique)][inverse]
+        found = self.number[np.searchsorted(self.known, unique)]
+        self.hits[found] += 1
+        places = np.empty(len(found), np.int32)
+        places[order] = found
+        place = places[inverse]
         begin = self.begin[place]
         length = self.begin[place + 1] - begin
         stop = np.cumsum(length)
@@ -114,25 +140,36 @@ class Encoder:
         counts = np.diff(per_piece[np.searchsorted(starts, offsets)])
         return self.flat[take], counts
 
-    def _library_ids(self, pieces: list[str]) -> list[list[int]]:
-        out = []
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of ascending hashes stands among the known ones, and whether it is known."""
+        at = np.searchsorted(self.known, hashes)
+        held = np.zeros(len(hashes), bool)
+        inside = at < len(self.known)
+        held[inside] = self.known[at[inside]] == hashes[inside]
+        return at, held
+
+    def _library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        ids, lengths = [], []
         for at in range(0, len(pieces), _AT_ONCE):
             part = pieces[at : at + _AT_ONCE]
-            out += [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+            found = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.int32))
+            lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(lengths)
 
-    def _learn(self, ids: list[list[int]]) -> np.ndarray:
-        lengths = np.array([len(x) for x in ids], np.int64)
-        fresh = np.array([i for x in ids for i in x], np.int32)
+    def _learn(self, fresh: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         count, end = len(self.known), self.used + len(fresh)
         if end > len(self.flat):
             self.flat = np.resize(self.flat, 2 * end)
-        if count + len(ids) + 1 > len(self.begin):
-            self.begin = np.resize(self.begin, 2 * (count + len(ids) + 1))
+        if count + len(lengths) + 1 > len(self.begin):
+            self.begin = np.resize(self.begin, 2 * (count + len(lengths) + 1))
+            self.hits = np.resize(self.hits, len(self.begin))
         self.flat[self.used : end] = fresh
-        self.begin[count + 1 : count + len(ids) + 1] = self.used + np.cumsum(lengths)
+        self.begin[count + 1 : count + len(lengths) + 1] = self.used + np.cumsum(lengths)
+        self.hits[count : count + len(lengths)] = 0
         self.used = end
-        return np.arange(count, count + len(ids), dtype=np.int32)
+        return np.arange(count, count + len(lengths), dtype=np.int32)
 
 
 def split(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
